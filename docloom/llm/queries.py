@@ -5,18 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bpe
+from docloom.llm import bpe, leaks, split
 from docloom.session import table
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions with their split trimmed and in lower case."""
+    q = table(spark, sf_dir, "questions")
+    return q.withColumn("split", F.lower(F.trim("split")))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_oversized(table(spark, sf_dir, "sections"), "id", "text", "line_start").withColumnRenamed("id", "section_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).select("section_id").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves."""
+    return _pieces(spark, sf_dir).distinct()
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _questions(spark, sf_dir).filter(F.col("split").isin("dev", "test"))
+    texts = held_out.select(F.col("id").alias("question_id"), F.explode(F.concat(F.array("answer"), F.coalesce("evidence", F.array().cast("array<string>")))).alias("said"))
+    sections = table(spark, sf_dir, "sections").select(F.col("id").alias("section_id"), "text")
+    return leaks.find_leaks(sections, "section_id", "text", texts, "question_id", "said")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("section_id", "question_id").distinct()
+
+
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections with leaks, without the leaked passages."""
+    sections = table(spark, sf_dir, "sections").select(F.col("id").alias("section_id"), "text").distinct()
+    return leaks.remove_leaks(sections, "section_id", "text", _leaks(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p6_found": p6_found,
+    "p6_cleaned": p6_cleaned,
     "p7_ids": p7_ids,
 }
 
 #: Where SQL can say the same over whole tables in bounded time.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": r"""
+        SELECT DISTINCT id AS section_id FROM sections
+        WHERE length(text) > 4000 OR len(regexp_extract_all(text, '[^ \t\r\n]+')) > 300""",
+    "p6_found": r"""
+        WITH s AS (SELECT DISTINCT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM sections),
+        q AS (SELECT DISTINCT id, unnest(list_append(coalesce(evidence, []), answer)) AS said FROM questions
+              WHERE lower(trim(split)) IN ('dev', 'test')),
+        qw AS (SELECT id, regexp_extract_all(lower(said), '[\p{L}\p{N}]+') AS w FROM q),
+        sg AS (SELECT DISTINCT id, unnest([w[i:i + 12] for i in range(1, len(w) - 11)]) AS g FROM s),
+        qg AS (SELECT DISTINCT id, unnest([w[i:i + 12] for i in range(1, len(w) - 11)]) AS g FROM qw)
+        SELECT DISTINCT sg.id AS section_id, qg.id AS question_id FROM sg JOIN qg USING (g)""",
+}
