@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, leaks, split
+from docloom.llm import bpe, leaks, near, split
+from docloom.llm.words import word_array
 from docloom.session import table
 
 
@@ -30,6 +31,25 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).distinct()
 
 
+def _near(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    docs = table(spark, sf_dir, "docs").select("id", word_array(F.col("path")).alias("words"))
+    return {
+        "section": near.near_texts(table(spark, sf_dir, "sections"), "id", "text"),
+        "doc": near.near_sets(docs, "id", "words"),
+    }
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, other = (near.pairs_of(g).select(F.lit(k).alias("kind"), "id_a", "id_b") for k, g in _near(spark, sf_dir).items())
+    return one.union(other)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups: one row for each section or doc that is alike to another."""
+    one, other = (g.select(F.lit(k).alias("kind"), F.col("key").alias("id"), F.col("group").alias("group_id")) for k, g in _near(spark, sf_dir).items())
+    return one.union(other)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = _questions(spark, sf_dir).filter(F.col("split").isin("dev", "test"))
     texts = held_out.select(F.col("id").alias("question_id"), F.explode(F.concat(F.array("answer"), F.coalesce("evidence", F.array().cast("array<string>")))).alias("said"))
@@ -54,6 +74,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p6_found": p6_found,
     "p6_cleaned": p6_cleaned,
     "p7_ids": p7_ids,
