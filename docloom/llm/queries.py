@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, leaks, near, split
+from docloom.llm import bpe, leaks, near, overlap, split
 from docloom.llm.words import word_array
 from docloom.session import table
 
@@ -31,6 +31,26 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).distinct()
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _questions(spark, sf_dir).withColumn("words", word_array(F.col("question")))
+    return overlap.split_overlaps(q, "id", "split", "words", "train", ["dev", "test"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select(F.least("train_key", "key").alias("id_a"), F.greatest("train_key", "key").alias("id_b")).filter("id_a <> id_b").distinct()
+
+
+def p2_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per eval split and source: its questions, those that also stand in train, and the pairs."""
+    held_out = _questions(spark, sf_dir).filter(F.col("split").isin("dev", "test")).select("id", "split", "source").distinct()
+    pairs = _overlaps(spark, sf_dir).groupBy(F.col("key").alias("id"), "split").agg(F.count("*").alias("pairs"))
+    return (
+        held_out.join(pairs, ["id", "split"], "left")
+        .groupBy("split", "source")
+        .agg(F.count("*").alias("questions"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    )
+
+
 def _near(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = table(spark, sf_dir, "docs").select("id", word_array(F.col("path")).alias("words"))
     return {
@@ -74,6 +94,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_by_source": p2_by_source,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p6_found": p6_found,
@@ -81,11 +103,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
 }
 
+_P2_PAIRS = r"""
+        WITH w AS (SELECT DISTINCT id, lower(trim(split)) AS split,
+                          list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}]+')) AS w FROM questions),
+        t AS (SELECT id, split, w, unnest(w) AS term FROM w),
+        common AS (SELECT a.id AS a, b.id AS b, b.split, len(any_value(a.w)) + len(any_value(b.w)) AS n, count(*) AS o
+                   FROM t a JOIN t b USING (term) WHERE a.split = 'train' AND b.split IN ('dev', 'test') GROUP BY a.id, b.id, b.split),
+        pairs AS (SELECT a, b, split FROM common WHERE o >= 0.7 * (n - o))"""
+
 #: Where SQL can say the same over whole tables in bounded time.
 SQL: dict[str, str] = {
     "p1_found": r"""
         SELECT DISTINCT id AS section_id FROM sections
         WHERE length(text) > 4000 OR len(regexp_extract_all(text, '[^ \t\r\n]+')) > 300""",
+    "p2_found": _P2_PAIRS + """
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM pairs WHERE a <> b""",
+    "p2_by_source": _P2_PAIRS + """, n AS (SELECT b AS id, split, count(*) AS pairs FROM pairs GROUP BY ALL)
+        SELECT q.split, q.source, count(*) AS questions, count(n.pairs) AS overlapping, CAST(coalesce(sum(n.pairs), 0) AS BIGINT) AS pairs
+        FROM (SELECT DISTINCT id, lower(trim(split)) AS split, source FROM questions WHERE lower(trim(split)) IN ('dev', 'test')) q
+        LEFT JOIN n ON n.id = q.id AND n.split = q.split GROUP BY ALL""",
     "p6_found": r"""
         WITH s AS (SELECT DISTINCT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM sections),
         q AS (SELECT DISTINCT id, unnest(list_append(coalesce(evidence, []), answer)) AS said FROM questions
