@@ -42,7 +42,7 @@ def _ranges(of) -> str:
 
 
 #: The white space of Unicode, as pre-tokenizers understand \s.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def pretoken_pattern() -> re.Pattern:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, leaks, near, overlap, split
+from docloom.llm import bpe, forms, leaks, near, overlap, split
 from docloom.llm.words import word_array
 from docloom.session import table
 
@@ -91,6 +91,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = forms.alike_pairs(forms.one_form(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text in its one form, null where nothing is visible."""
+    out = forms.one_form(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=True)
+    return out.select(F.col("key").alias("doc_id"), F.when(F.col("form").isNotNull(), F.col("text")).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -101,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_cleaned": p6_cleaned,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_forms": p9_forms,
 }
 
 _P2_PAIRS = r"""
