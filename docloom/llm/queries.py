@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, forms, leaks, near, overlap, split
+from docloom.llm import bpe, forms, leaks, mixture, near, overlap, split
 from docloom.llm.words import word_array
 from docloom.session import table
 
@@ -91,6 +91,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def p8_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, with their number of copies."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = forms.alike_pairs(forms.one_form(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -112,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_cleaned": p6_cleaned,
     "p7_ids": p7_ids,
+    "p8_sample": p8_sample,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
 }
