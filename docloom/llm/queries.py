@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, forms, leaks, mixture, near, overlap, split
+from docloom.llm import bpe, forms, leaks, mixture, near, overlap, pairs, split
 from docloom.llm.words import word_array
 from docloom.session import table
 
@@ -43,9 +43,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per eval split and source: its questions, those that also stand in train, and the pairs."""
     held_out = _questions(spark, sf_dir).filter(F.col("split").isin("dev", "test")).select("id", "split", "source").distinct()
-    pairs = _overlaps(spark, sf_dir).groupBy(F.col("key").alias("id"), "split").agg(F.count("*").alias("pairs"))
+    found = _overlaps(spark, sf_dir).groupBy(F.col("key").alias("id"), "split").agg(F.count("*").alias("pairs"))
     return (
-        held_out.join(pairs, ["id", "split"], "left")
+        held_out.join(found, ["id", "split"], "left")
         .groupBy("split", "source")
         .agg(F.count("*").alias("questions"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     )
@@ -70,6 +70,21 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.union(other)
 
 
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = table(spark, sf_dir, "questions").withColumnRenamed("id", "question_id")
+    return pairs.broken_pairs(questions, "question_id", "question", "answer")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _broken(spark, sf_dir)
+
+
+def p5_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective questions per source and defect."""
+    sources = table(spark, sf_dir, "questions").select(F.col("id").alias("question_id"), "source").distinct()
+    return _broken(spark, sf_dir).join(sources, "question_id").groupBy("source", "defect").agg(F.count("*").alias("questions"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = _questions(spark, sf_dir).filter(F.col("split").isin("dev", "test"))
     texts = held_out.select(F.col("id").alias("question_id"), F.explode(F.concat(F.array("answer"), F.coalesce("evidence", F.array().cast("array<string>")))).alias("said"))
@@ -106,8 +121,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = forms.alike_pairs(forms.one_form(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+    found = forms.alike_pairs(forms.one_form(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_by_source": p2_by_source,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_by_source": p5_by_source,
     "p6_found": p6_found,
     "p6_cleaned": p6_cleaned,
     "p7_ids": p7_ids,
