@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["orphan_queries", "search_queries", "curate_queries"]
+MODULES = ["orphan_queries", "search_queries", "curate_queries", "link_queries"]
 
 
 def load() -> None:
