@@ -32,7 +32,7 @@ WORDS = {
     "UNIQUE(": ("array_distinct(", "list_distinct("),
     "SERIES(": ("sequence(", "generate_series("),
     "CHARS(": ("char_length(", "length("),
-    "MICROS(": ("unix_micros(", "epoch_us("),
+    "MICROS(": ("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ", "epoch_us("),
     "JSONGET(": ("get_json_object(", "json_extract_string("),
 }
 
