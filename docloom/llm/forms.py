@@ -1,7 +1,7 @@
 """Problem 9: one consistent form for texts that look the same but are written with other characters.
 
 Characters: invisible ones go (a joiner between two emoji stays, as it changes the picture), blanks of any width become a
-space, runs of them one space, line ends LF, wide and narrow forms and f-ligatures their plain letters, and composed and
+space, runs of them one space, line ends LF, hyphens the plain one, wide and narrow forms and f-ligatures their plain letters, and composed and
 decomposed accents one form. Case, accents, raised digits and signs such as an ellipsis stay as they are.
 
 Letters: script-aware repair of look-alikes. A token that mixes scripts is rewritten in its dominant script (or, if that
@@ -43,7 +43,9 @@ _BLANKS = "\t\x0b\x0c\xa0              　"
 _LIGATURES = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl", 0xFB05: "st", 0xFB06: "st"}
 
 _CHANGES: dict[int, str] = {ord(c): "" for c in _INVISIBLE} | {0xFEFF: ""} | {ord(c): " " for c in _BLANKS} | _LIGATURES
-_CHANGES |= {c: unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFF01, 0xFFEF), 0x2011) if unicodedata.decomposition(chr(c)).startswith(("<wide>", "<narrow>", "<noBreak>"))}
+_CHANGES |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF) if unicodedata.decomposition(chr(c)).startswith(("<wide>", "<narrow>"))}
+#: Hyphens that look like the one of ASCII.
+_CHANGES |= {0x2010: "-", 0x2011: "-", 0xFE63: "-"}
 _JOINER = re.compile("(?<![\u2300-\u2bff\U0001f000-\U0001ffff\ufe0f])\u200d|\u200d(?![\u2300-\u2bff\U0001f000-\U0001ffff])")
 _RUN = re.compile(" {2,}")
 _LINE = re.compile(" *(?:\r\n|\r|\n| | |\x85) *")
