@@ -50,10 +50,10 @@ def cut(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overl
         if reach >= n:
             out.append((int(starts[i]), int(ends[-1])))
             return out
-        at, least = reach, i + (reach - i) // 2
+        at, least = reach, max(i + 1, i + (reach - i) // 2)
         for sorted_at in boundaries:
             k = int(np.searchsorted(sorted_at, reach, "right")) - 1
-            if k >= 0 and sorted_at[k] > least:
+            if k >= 0 and sorted_at[k] >= least:
                 at = int(sorted_at[k])
                 break
         out.append((int(starts[i]), int(ends[at - 1])))
