@@ -51,15 +51,18 @@ def _missing(refs: pd.DataFrame, lives: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def orphans(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """The rows of refs whose key isn't alive at their moment: (*refs, period), period as "2024-05".
+def orphans(refs: DataFrame, lives: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows of refs whose key isn't alive at their moment: (domain, key, *keep, period), period as "2024-05".
 
     refs: (domain, key, at, ...): key is looked up among the lives of the domain; rows with a null key or a null moment
     are no case. lives: (domain, key, born, gone): alive from born up to, not including, gone; a null born is always
     before, a null gone is never. A key may have several lives; one is enough. No lives at all: every reference is a
-    case. Repeated rows of refs come out as often as they stand there."""
-    period = F.date_format("at", "yyyy-MM")
-    refs = refs.filter("domain is not null and key is not null and at is not null").withColumn("period", period)
+    case. Repeated rows of refs come out as often as they stand there.
+    Other columns are ignored."""
+    if {"domain", "key", "period"} & set(keep):
+        raise ValueError("domain, key and period come out anyway")
+    refs = refs.select("domain", "key", "at", F.date_format("at", "yyyy-MM").alias("period"), *[F.col(c).alias(f"_kept_{c}") for c in keep])
+    refs = refs.filter("domain is not null and key is not null and at is not null")
     keys = refs.groupBy("domain", "key", "period").agg(F.unix_micros(F.min("at").cast("timestamp")).alias("first"), F.unix_micros(F.max("at").cast("timestamp")).alias("last"))
     lives = lives.filter("domain is not null and key is not null").select(
         "domain", "key", F.coalesce(F.unix_micros(F.col("born").cast("timestamp")), F.lit(-_FOREVER)).alias("born"), F.coalesce(F.unix_micros(F.col("gone").cast("timestamp")), F.lit(_FOREVER)).alias("gone")
@@ -71,7 +74,7 @@ def orphans(refs: DataFrame, lives: DataFrame) -> DataFrame:
     missing = left.applyInPandas(lambda r, p: _missing(r.drop(columns="range"), p.drop(columns="range")), "domain string, key string, period string, born array<bigint>, gone array<bigint>")
     moment = F.unix_micros(F.col("at").cast("timestamp"))
     alive = F.exists(F.arrays_zip("born", "gone"), lambda x: (x["born"] <= F.col("_at")) & (F.col("_at") < x["gone"]))
-    return refs.withColumn("_at", moment).join(missing, ["domain", "key", "period"]).filter(~alive).select(*refs.columns)
+    return refs.withColumn("_at", moment).join(missing, ["domain", "key", "period"]).filter(~alive).select("domain", "key", *[F.col(f"_kept_{c}").alias(c) for c in keep], "period")
 
 
 def bare_key(column: Column) -> Column:

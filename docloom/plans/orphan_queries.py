@@ -39,7 +39,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = refs.select("ref_table", "row_id", "at", "r.domain", "r.key").union(
         unresolved.select(F.lit("unresolved"), "unresolved_id", "built_at", F.lit("mention"), bare_name(F.col("mention")))
     )
-    return orphans(refs, lives).select("ref_table", F.col("domain").alias("ref_field"), "row_id", "period").distinct()
+    return orphans(refs, lives, ["ref_table", "row_id"]).select("ref_table", F.col("domain").alias("ref_field"), "row_id", "period").distinct()
 
 
 @query("p4_found", _SQL + " SELECT DISTINCT * FROM found")
