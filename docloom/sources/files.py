@@ -12,7 +12,9 @@ SKIPPED = ["node_modules", ".git", "build", "dist", "vendor", "__pycache__", ".v
 def text_files(spark: SparkSession, root: str, suffixes: list[str], excluded: list[str] = SKIPPED) -> DataFrame:
     """(path, modified, text) of the files below root with one of the suffixes, outside the excluded folders; path is
     relative to root. Hidden folders are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.github")  # the one hidden folder that a scan doesn't skip
+    roots = [root, *[f"{root}/.github"] * hidden.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hidden)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(roots)
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/") + "/", "")
     folders = F.slice(F.split(relative, "/"), 1, F.size(F.split(relative, "/")) - 1)
     bad = F.exists(folders, lambda x: x.isin(excluded) | (x.startswith(".") & (x != ".github")))
