@@ -51,9 +51,11 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048) -> DataFrame:
     """(query, rank, key, score) by cosine. vectors: (key, v), queries: (query, v). The stated queries are gathered in
-    blocks of a bounded number of rows, each block goes once over all vectors as a matrix product, and each batch keeps
+    blocks of about `block` rows, by hash, each block goes once over all vectors as a matrix product, and each batch keeps
     its own k best before anything is shuffled. Null vectors and vectors of norm 0 have no partner."""
-    blocks = queries.filter("v is not null").select("query", "v").withColumn("block", F.floor(F.row_number().over(Window.orderBy("query")) / block))
+    asked = queries.filter("v is not null").select("query", "v")
+    n_blocks = asked.count() // block + 1
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)))
     gathered = blocks.groupBy("block").agg(F.collect_list("query").alias("ids"), F.collect_list("v").alias("vs"))
     kind = queries.schema["query"].dataType.simpleString(), vectors.schema["key"].dataType.simpleString()
     out = []
