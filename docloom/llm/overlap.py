@@ -2,10 +2,11 @@
 
 Each record is a unit vector over its distinct words. Terms are put in one order, rarest first. A record enters the
 inverted lists of its first terms only, up to where what follows can no longer reach the threshold: the bound on the rest
-is the lesser of its norm and of the sum of weight times the term's largest weight on the other side. Two records within
-the threshold share at least one listed term (if the one whose list ends earlier shared none, all common terms would lie
-in its rest). Candidates whose sizes and largest weights rule the threshold out go at once; the others get exact dot
-products.
+is the lesser of its norm, without the terms that the other side lacks, and of the sum of weight times the term's largest
+weight on the other side. Two records within the threshold share at least one listed term (if the one whose list ends
+earlier shared none, all common terms would lie in its rest). At their first shared term, all they have in common lies in
+both rests, so the product of the two norms must reach the threshold. Candidates that this, their sizes or their largest
+weights rule out go at once; the others get exact dot products.
 
 Records with the same words are one vector, so copies, however many, are one entry of each list.
 """
@@ -46,12 +47,12 @@ def cosine_join(classes: DataFrame, threshold: float, weighting: str = "unit") -
     )
     other = F.coalesce(F.when(F.col("side") == "left", F.col("max_right")).otherwise(F.col("max_left")), F.lit(0.0))
     rest = Window.partitionBy("side", "code").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    bounded = vectors.join(stats, "term").withColumn("bound", F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)), F.sum(F.col("w") * other).over(rest)))
-    # A term that the other side lacks has no partner in any list; it still counts in the bounds of those before it.
-    listed = bounded.filter((F.col("bound") >= threshold - 1e-9) & (other > 0)).select("side", "code", "term", "n", "mw")
-    of = lambda side: listed.filter(F.col("side") == side).select("term", *[F.col(c).alias(f"{c}_{side}") for c in ("code", "n", "mw")])
+    shared = vectors.join(stats, "term").withColumn("other", other).filter("other > 0")
+    bounded = shared.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).withColumn("bound", F.least("norm", F.sum(F.col("w") * F.col("other")).over(rest)))
+    listed = bounded.filter(F.col("bound") >= threshold - 1e-9).select("side", "code", "term", "n", "mw", "norm")
+    of = lambda side: listed.filter(F.col("side") == side).select("term", *[F.col(c).alias(f"{c}_{side}") for c in ("code", "n", "mw", "norm")])
     most = F.least("n_left", "n_right") * F.col("mw_left") * F.col("mw_right")
-    candidates = of("left").join(of("right"), "term").filter(most >= threshold - 1e-9).select("code_left", "code_right").distinct()
+    candidates = of("left").join(of("right"), "term").filter((most >= threshold - 1e-9) & (F.col("norm_left") * F.col("norm_right") >= threshold - 1e-9)).select("code_left", "code_right").distinct()
     whole = vectors.groupBy("side", "code").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
     full = lambda side: whole.filter(F.col("side") == side).select(F.col("code").alias(f"code_{side}"), F.col("v").alias(f"v_{side}"))
     both = candidates.join(full("left"), "code_left").join(full("right"), "code_right")
