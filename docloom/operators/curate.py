@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import ngrams, paragraph_key, unicode_words
+from docloom.functions.text import ngram_hashes, paragraph_key, unicode_words
+from docloom.functions.text import ngrams as ngrams_of
+from docloom.session import stored
 
 
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -38,15 +40,18 @@ def boilerplate(grams: DataFrame, sources: int = 2) -> DataFrame:
     return grams.select("gram", "source").distinct().groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= sources).select("gram")
 
 
-def gram_rows(units: DataFrame, unit: str, source: str, text: str, n: int = 13) -> DataFrame:
-    """(source, unit, gram): the distinct runs of n words of each unit."""
+def gram_rows(units: DataFrame, unit: str, source: str, text: str, n: int = 13, hashed: bool = True) -> DataFrame:
+    """(source, unit, gram): the distinct runs of n words of each unit, as 64-bit hashes or as text."""
+    ngrams = ngram_hashes if hashed else ngrams_of
     return units.select(F.col(source).alias("source"), F.col(unit).alias("unit"), F.explode(F.array_distinct(ngrams(unicode_words(F.col(text)), n))).alias("gram"))
 
 
 def leakage_gate(grams: DataFrame, reference: DataFrame, least: int = 3) -> DataFrame:
     """(unit, source, hits) of units with at least `least` grams of the reference, boilerplate of the units' sources
     aside. reference: (gram)."""
-    clean = grams.join(boilerplate(grams), "gram", "left_anti").join(reference.distinct(), "gram", "left_semi")
+    # Only grams of the reference matter, so they are picked first and counted by source afterwards.
+    met = stored(grams.join(reference.distinct(), "gram", "left_semi"))
+    clean = met.join(boilerplate(met), "gram", "left_anti")
     return clean.groupBy("unit", "source").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
 
 

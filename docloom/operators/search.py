@@ -13,27 +13,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.session import stored
+
 K1, B, RRF_K, DEPTH, POOL = 1.2, 0.75, 60, 50, 30
 
 
 def postings(records: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
     """(term, key, weighted tf, length): columns gives an array of tokens for each weighted column as {name: tokens};
     the weight is in the name after a colon, as in "heading:2"."""
-    each = [records.select(F.col(key).alias("key"), tokens.alias("t"), F.lit(float(name.partition(":")[2] or 1)).alias("w")) for name, tokens in columns.items()]
-    whole = each[0]
-    for other in each[1:]:
-        whole = whole.unionByName(other)
-    lengths = whole.groupBy("key").agg(F.sum(F.size("t")).alias("length"))
-    terms = whole.select("key", "w", F.explode("t").alias("term")).groupBy("term", "key").agg(F.sum("w").alias("tf"))
-    return terms.join(lengths, "key")
+    each = records.select(F.col(key).alias("key"), *[tokens.alias(f"t{i}") for i, tokens in enumerate(columns.values())])
+    weights = [float(name.partition(":")[2] or 1) for name in columns]
+    length = sum((F.size(f"t{i}") for i in range(len(weights))), F.lit(0))
+
+    def weighted(i: int, w: float) -> Column:
+        return F.transform(f"t{i}", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    terms = each.select("key", length.alias("length"), F.explode(F.concat(*[weighted(i, w) for i, w in enumerate(weights)])).alias("x"))
+    return terms.groupBy(F.col("x.term").alias("term"), "key").agg(F.sum("x.w").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25(index: DataFrame, n_records: DataFrame, queries: DataFrame, k: int = DEPTH) -> DataFrame:
     """(query, rank, key, score), the best k of each query. index: as postings() gives it. n_records: one row (n, total)
     of the number of records and of tokens. queries: (query, terms). idf is floored at 1e-6, so no term counts against."""
     terms = queries.select("query", F.explode("terms").alias("term")).distinct()
+    index = stored(index.join(terms.select("term").distinct(), "term", "left_semi"))  # used twice; only the asked terms
     hits = index.join(terms, "term")
-    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     # One row of totals: a size known beforehand.
     hits = hits.join(df, "term").crossJoin(F.broadcast(n_records))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

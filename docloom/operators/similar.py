@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 from docloom.session import stored
 
 
-def classes_of(df: DataFrame, key: str, items: str) -> DataFrame:
-    """(key, rep, items): rep is the least key with the same set. Null and empty sets are left out."""
+def classes_of(df: DataFrame, key: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) and (rep, items): rep is the least key with the same set. items names an array of 64-bit hashes. Null
+    and empty sets are left out."""
     sets = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(items)).alias("items")).filter(F.size("items") > 0)
-    coded = sets.withColumn("code", F.xxhash64("items"))
-    return coded.join(coded.groupBy("code").agg(F.min("key").alias("rep")), "code").select("key", "rep", "items").distinct()
+    coded = stored(sets.withColumn("code", F.xxhash64("items")))
+    classes = stored(coded.groupBy("code").agg(F.min("key").alias("rep"), F.first("items").alias("items")))
+    return coded.select("key", "code").join(classes.select("code", "rep"), "code").select("key", "rep").distinct(), classes.select("rep", "items")
 
 
-def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs a < b of representatives whose sets have at least that Jaccard similarity. classes: as
-    classes_of gives them."""
-    sets = stored(classes.filter("key = rep").select("rep", F.transform("items", lambda x: F.xxhash64(x)).alias("items")).distinct())
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): pairs a < b of representatives whose sets have at least that Jaccard similarity. sets:
+    (rep, items) as classes_of gives them."""
     each = sets.select("rep", F.size("items").alias("n"), F.explode("items").alias("item"))
     df = each.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")  # an item of one set has no partner
     shared = each.join(df, "item").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by_df"))

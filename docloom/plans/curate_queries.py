@@ -165,8 +165,8 @@ _GATE = r"""WITH w AS (SELECT id AS section_id, component AS source, """ + _WORD
     hit AS (SELECT section_id, source, count(*) AS hits FROM g WHERE gram NOT IN (SELECT gram FROM b) AND gram IN (SELECT gram FROM r) GROUP BY ALL)"""
 
 
-def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.gram_rows(table(spark, sf_dir, "sections"), "id", "component", "text").distinct()
+def _grams(spark: SparkSession, sf_dir: str, hashed: bool = True) -> DataFrame:
+    return curate.gram_rows(table(spark, sf_dir, "sections").select("id", "component", "text").distinct(), "id", "component", "text", hashed=hashed)
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("boilerplate_grams", _GATE + " SELECT md5(gram) AS gram FROM b")
 def boilerplate_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.boilerplate(_grams(spark, sf_dir)).select(F.md5("gram").alias("gram"))
+    return curate.boilerplate(_grams(spark, sf_dir, False)).select(F.md5("gram").alias("gram"))
 
 
 @query("overlap_report", _GATE + " SELECT g.source, count(DISTINCT g.section_id) AS sections, count(DISTINCT r.id) AS questions, count(DISTINCT gram) AS grams FROM g JOIN r USING (gram) GROUP BY g.source")

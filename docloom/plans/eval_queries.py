@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import shingles, unicode_words
+from docloom.functions.text import shingle_hashes, unicode_words
 from docloom.operators import evaluate, similar
 from docloom.plans.dialects import both
 from docloom.plans.registry import query
@@ -178,21 +178,21 @@ _FIVE = r"""WITH g AS (SELECT id, list_sort(list_distinct(CASE WHEN len(w) >= 5
     c AS (SELECT s, min(id) AS rep FROM g GROUP BY s), e AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM c)"""
 
 
-def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _five(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, sf_dir, "sections").select("id", "text").filter("text is not null").distinct()
-    return similar.classes_of(s.select("id", shingles(unicode_words(F.col("text")), 5).alias("items")), "id", "items")
+    return similar.classes_of(s.select("id", shingle_hashes(unicode_words(F.col("text")), 5).alias("items")), "id", "items")
 
 
 @query("near_dup_pairs", _FIVE + " SELECT a.rep AS id_a, b.rep AS id_b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sections of a similarity of 0.8 in runs of five words, between the representatives of equal ones."""
-    return similar.similar_sets(_five(spark, sf_dir), 0.8).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return similar.similar_sets(_five(spark, sf_dir)[1], 0.8).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
 @query("near_dup_members", _FIVE + " SELECT g.id, c.rep FROM g JOIN c ON g.s = c.s")
 def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sections each representative stands for."""
-    return _five(spark, sf_dir).select(F.col("key").alias("id"), "rep").distinct()
+    return _five(spark, sf_dir)[0].select(F.col("key").alias("id"), "rep")
 
 
 both("jaccard", r"""SELECT id, round(size(array_intersect(a, b)) / greatest(size(array_union(a, b)), 1), 6) AS jaccard FROM (SELECT DISTINCT id, array_distinct(regexp_extract_all(lower(question), r'[\p{L}\p{N}]+', 0)) AS a, array_distinct(regexp_extract_all(lower(answer), r'[\p{L}\p{N}]+', 0)) AS b FROM questions WHERE answer IS NOT NULL)""",

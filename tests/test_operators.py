@@ -97,14 +97,16 @@ def test_budgets(spark):
 def test_similar_sets(spark):
     rng = np.random.default_rng(4)
     rows = [(f"k{i:03}", [f"x{x}" for x in rng.choice(14, int(rng.integers(1, 9)), replace=False)]) for i in range(120)] + [("n", None), ("e", [])]
-    classes = similar.classes_of(spark.createDataFrame(rows, "key string, items array<string>"), "key", "items")
-    got = {(r.a, r.b) for r in similar.similar_sets(classes, 0.6).collect()}
+    df = spark.createDataFrame(rows, "key string, words array<string>").select("key", F.transform("words", lambda x: F.xxhash64(x)).alias("items"))
+    members, sets = similar.classes_of(df, "key", "items")
+    got = {(r.a, r.b) for r in similar.similar_sets(sets, 0.6).collect()}
     reps = {}
     for k, x in rows:
         if x:
             reps.setdefault(frozenset(x), k)
     want = {tuple(sorted((reps[a], reps[b]))) for a, b in itertools.combinations(reps, 2) if len(a & b) >= 0.6 * len(a | b)}
     assert got == want
+    assert {r.key: r.rep for r in members.collect()} == {k: reps[frozenset(x)] for k, x in rows if x}
 
 
 def test_links(spark):
