@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +25,27 @@ def session(name: str = "docloom", master: str | None = None, **conf: str) -> Sp
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    return builder.config(map=SETTINGS | conf).getOrCreate()
+    spark = builder.config(map=SETTINGS | conf).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docloom_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(prefix="docloom-code-"), "docloom_code.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(to)
+    sc._docloom_sent = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +67,7 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """df written once to the shared folder and read again: cuts the lineage, survives the loss of executors, and keeps
     the columns prunable. It is written once although several parts of a plan use it."""
     spark = df.sparkSession
+    ship(spark)
     to = os.path.join(shared_dir(spark), f"stored-{uuid.uuid4().hex}")
     (df.coalesce(partitions) if partitions else df).write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)
