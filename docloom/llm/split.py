@@ -44,19 +44,20 @@ def cut(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overl
         elif strength[i] == 0 and text[ends[i - 1] - 1] in _SENTENCE_END and ends[i - 1] < starts[i]:
             strength[i] = 1
     boundaries = [np.flatnonzero(strength >= s) for s in (3, 2, 1)]
-    out, i = [], 0
+    out, i, before = [], 0, 0
     while True:
         reach = min(i + max_words, int(np.searchsorted(ends, starts[i] + max_chars, "right")))  # first token that no longer fits
         if reach >= n:
             out.append((int(starts[i]), int(ends[-1])))
             return out
-        at, least = reach, max(i + 1, i + (reach - i) // 2)
+        at, least = reach, max(before + 1, i + (reach - i) // 2)  # behind the last cut
         for sorted_at in boundaries:
             k = int(np.searchsorted(sorted_at, reach, "right")) - 1
             if k >= 0 and sorted_at[k] >= least:
                 at = int(sorted_at[k])
                 break
         out.append((int(starts[i]), int(ends[at - 1])))
+        before = at
         # The overlap, less where the next token wouldn't fit behind it.
         i = max(at - overlap, i + 1, int(np.searchsorted(starts, ends[at] - max_chars, "left")), at + 1 - max_words)
 
