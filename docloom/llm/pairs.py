@@ -1,8 +1,7 @@
 """Problem 5: broken prompt and response pairs, each with the name of its defect.
 
 Refusals. The openings of the responses (their first words outside code and quotations) are clustered by MinHash: an
-opening is tied to the least opening of each bucket it falls into if their words verify, and tied openings form a
-template. A template that recurs across unrelated prompts and most of whose responses decline, that is, speak of the
+opening is held against the others of each bucket it falls into, and openings whose words verify form a template. A template that recurs across unrelated prompts and most of whose responses decline, that is, speak of the
 speaker and of not being able or allowed, is a refusal, with all its responses; so is a response that declines by itself.
 That something in the system is impossible isn't said in the first person and stays an answer.
 
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.near import _rest_of_hot, meetings
 from docloom.llm.words import hashed, mixed, words
 from docloom.operators.components import connected_components
 from docloom.session import stored
@@ -152,26 +152,39 @@ def opening(answer: str) -> str:
     return " ".join(words(_QUOTED.sub(" ", _CODE.sub(" ", answer)))[:OPENING])
 
 
+def buckets(openings: list[str]) -> np.ndarray:
+    """The buckets of each opening, a row each: two minima of its words make one."""
+    h, starts = hashed([s.split(" ") for s in openings])
+    if not openings:
+        return np.zeros((0, BANDS), np.int64)
+    low = np.stack([np.minimum.reduceat(mixed(h * f), starts[:-1]) for f in _FACTORS], 1).reshape(len(openings), BANDS, ROWS)
+    return mixed(low[:, :, 0] * np.uint64(31) + low[:, :, 1] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def templates(openings: DataFrame) -> DataFrame:
-    """(opening, template): verified MinHash clusters of distinct openings; an opening alone isn't listed."""
+    """(opening, template): verified MinHash clusters of distinct openings, the template a number; an opening alone isn't
+    listed. Any two that share a bucket are held against each other, in large buckets as near.py does it."""
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = batch.column(0).to_pylist()
-            h, starts = hashed([s.split(" ") for s in said])
-            keys = np.zeros((len(said), BANDS), np.uint64)
-            if len(said):
-                low = np.stack([np.minimum.reduceat(mixed(h * f), starts[:-1]) for f in _FACTORS], 1).reshape(len(said), BANDS, ROWS)
-                keys = mixed(low[:, :, 0] * np.uint64(31) + low[:, :, 1] + np.arange(BANDS, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(said)), BANDS)))], names=["bucket", "opening"])
-
-    rows = openings.select("opening").mapInArrow(buckets, "bucket bigint, opening string")
-    least = rows.groupBy("bucket").agg(F.min("opening").alias("to"))
-    tied = rows.join(least, "bucket").filter("opening <> to").select("opening", "to").distinct()
-    a, b = F.array_distinct(F.split("opening", " ")), F.array_distinct(F.split("to", " "))
-    common = F.size(F.array_intersect(a, b))
-    tied = tied.filter(common >= F.lit(LIKE) * (F.size(a) + F.size(b) - common))
-    return connected_components(tied, "opening", "to").withColumnsRenamed({"vertex": "opening", "component": "template"})
+            keys = buckets(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))], names=["variant", "code"])
+
+    codes = stored(openings.select(F.xxhash64("opening").alias("code"), "opening"))
+    rows = stored(codes.mapInArrow(run, "variant bigint, code bigint"))
+    met = stored(meetings(rows))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        of = lambda s: codes.select(F.col("code").alias(s), F.array_distinct(F.split("opening", " ")).alias(f"words_{s}"))
+        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        common = F.size(F.array_intersect("words_a", "words_b"))
+        return both.filter(common >= F.lit(LIKE) * (F.size("words_a") + F.size("words_b") - common)).select("a", "b")
+
+    edges = stored(alike(met.filter("not hot")))
+    rest = _rest_of_hot(met, rows, edges)
+    if rest is not None:
+        edges = edges.union(alike(rest))
+    return connected_components(edges).join(codes, F.col("vertex") == F.col("code")).select("opening", F.col("component").alias("template"))
 
 
 def broken_pairs(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
@@ -191,7 +204,7 @@ def broken_pairs(df: DataFrame, key: str, question: str, answer: str) -> DataFra
     rows = stored(pairs.mapInArrow(run, f"`{key}` {kind}, defect string, opening string, declines boolean, prompt bigint"))
     prompts = rows.filter("opening is not null").groupBy("opening", "prompt").agg(F.max(F.col("declines").cast("int")).alias("no"))
     openings = stored(prompts.groupBy("opening").agg(F.count("*").alias("prompts"), F.sum("no").alias("no")))
-    parts = openings.join(templates(openings), "opening", "left").withColumn("template", F.coalesce("template", "opening"))
+    parts = openings.join(templates(openings), "opening", "left").withColumn("template", F.coalesce("template", F.xxhash64("opening")))
     refusing = parts.groupBy("template").agg(F.sum("prompts").alias("prompts"), F.sum("no").alias("no")).filter((F.col("prompts") >= LEAST_PROMPTS) & (F.col("no") * 2 > F.col("prompts")))
     refused = parts.join(refusing.select("template"), "template").select("opening", F.lit(True).alias("refused"))
     named = rows.join(refused, "opening", "left")

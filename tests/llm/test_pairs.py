@@ -1,6 +1,9 @@
+from itertools import combinations
+
+import numpy as np
 import pytest
 
-from docloom.llm.pairs import broken_pairs, checked, declines
+from docloom.llm.pairs import broken_pairs, buckets, checked, declines, templates
 
 Q = "Why does the worker restart every queue when the lock is free, although the planner already drains it?"
 
@@ -35,3 +38,18 @@ def test_templates_carry_their_members(spark):
     out = {(r.id, r.defect) for r in broken_pairs(df, "id", "q", "a").collect()}
     assert out == {(f"r{i}", "refusal") for i in range(20)}
     assert broken_pairs(df.limit(0), "id", "q", "a").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 70])
+def test_unrelated_least_of_a_bucket(spark, n):
+    """Two alike openings whose every common bucket begins with n unrelated ones, below and above what is paired out."""
+    one, other = "we would rather leave this question to administrators", "we would rather leave this question to operators"
+    shared = [k for k in buckets([one])[0] if k in buckets([other])[0]]
+    rng = np.random.default_rng(6)
+    two = list(combinations(one.split()[:7], 2))
+    tried = [" ".join([*(f"a{x}" for x in rng.integers(0, 10**9, 6)), *two[i % len(two)]]) for i in range(40_000)]
+    keys = buckets(tried)
+    unrelated = {tried[i] for k in shared for i in np.flatnonzero((keys == k).any(1))[:n]}
+    assert shared and all((buckets(sorted(unrelated)) == k).any(1).sum() >= n for k in shared)
+    out = templates(spark.createDataFrame([(x,) for x in [one, other, *sorted(unrelated)]], "opening string")).collect()
+    assert {r.opening for r in out} == {one, other} and len({r.template for r in out}) == 1
