@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +12,8 @@ from docloom.functions.text import shingle_hashes, unicode_words
 from docloom.operators import evaluate, similar
 from docloom.plans.dialects import both
 from docloom.plans.registry import query
-from docloom.plans.search_queries import _UNIT_SQL, BM25_SQL, bm25, dense
-from docloom.session import table
+from docloom.plans.search_queries import _UNIT_SQL, BM25_SQL, asked, bm25, dense
+from docloom.session import stored, table
 
 _GOLD = """gold AS (SELECT DISTINCT id, path, lo, hi, section FROM (SELECT id, g.path AS path, g.lines[0] AS lo, g.lines[1] AS hi, g.section AS section FROM (SELECT id, explode(gold) AS g FROM questions)))"""
 _GOLD_D = """gold AS (SELECT DISTINCT id, g.path AS path, g.lines[1] AS lo, g.lines[2] AS hi, g.section AS section FROM (SELECT id, unnest(gold) AS g FROM questions))"""
@@ -156,11 +158,32 @@ def _negatives(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return left.select("query", place.cast("bigint").alias("position"), F.col(key).alias("section_id")).filter("position <= 7")
 
 
+def _padded(found: DataFrame, asked_: DataFrame, banned: DataFrame, choices: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """found (query, position, section_id) with choices in the order of a hash behind, up to seven a question. choices:
+    from the questions that fall short to (query, n, section_id), banned ones among them or not."""
+    short = stored(asked_.join(found.groupBy("query").agg(F.count("*").alias("n")), "query", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 7"))
+    rest = choices(short).distinct().join(banned.union(found.select("query", "section_id")).distinct(), ["query", "section_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.md5(F.concat_ws("|", F.col("query"), F.col("section_id"))), "section_id"))
+    more = rest.withColumn("place", place).filter("place <= 7").withColumn("position", (F.col("n") + F.col("place")).cast("bigint"))
+    return stored(found.union(more.filter("position <= 7").select("query", "position", "section_id")))
+
+
 @query("neg_groups")
 def neg_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a question with its seven negatives in order; groups that fall short are left out."""
-    g = _negatives(spark, sf_dir, "key").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "section_id"))).alias("n"))
-    return g.filter(F.size("n") == 7).select("query", F.transform("n", lambda x: x["section_id"]).alias("negatives"))
+    """One row for each asked question with its seven negatives in order: those of the ranking, then sections of the
+    question's component in the order of a hash, then any others. Only where all sections that aren't of a gold document
+    are fewer, a group is shorter."""
+    sections = stored(table(spark, sf_dir, "sections").select(F.col("id").alias("section_id"), "path", "component").distinct())
+    questions = table(spark, sf_dir, "questions")
+    asked_ = asked(spark, sf_dir).select("query").distinct()
+    gold = questions.select(F.col("id").alias("query"), F.explode("gold.path").alias("path")).distinct().join(asked_, "query", "left_semi")
+    banned = stored(gold.join(sections, "path").select("query", "section_id").distinct())
+    owners = questions.select(F.col("id").alias("query"), "component").distinct()
+    found = stored(_negatives(spark, sf_dir, "key"))
+    found = _padded(found, asked_, banned, lambda short: short.join(owners, "query").join(sections, "component").select("query", "n", "section_id"))
+    found = _padded(found, asked_, banned, lambda short: short.crossJoin(sections.select("section_id")))
+    g = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "section_id"))).alias("n"))
+    return asked_.join(g, "query", "left").select("query", F.coalesce(F.transform("n", lambda x: x["section_id"]), F.array().cast("array<string>")).alias("negatives"))
 
 
 both("kind_candidates", """WITH s AS (SELECT DISTINCT id, doc_id, component, ordinal FROM sections), q AS (SELECT id, doc_id, component, ordinal FROM s WHERE ordinal = 1),
