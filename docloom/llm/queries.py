@@ -72,7 +72,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "questions").withColumnRenamed("id", "question_id")
-    return pairs.broken_pairs(questions, "question_id", "question", "answer")
+    return pairs.broken_pairs(questions, "question_id", "question", "answer", table(spark, sf_dir, "sections"), "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from docloom.llm.pairs import broken_pairs, buckets, checked, declines, templates
+from docloom.llm.pairs import broken_pairs, buckets, checked, templates
 
 Q = "Why does the worker restart every queue when the lock is free, although the planner already drains it?"
 
@@ -20,24 +20,68 @@ def test_checks(answer, defect):
     assert checked(Q, answer) == defect
 
 
-@pytest.mark.parametrize(("answer", "refusal"), [
-    ("I'm sorry, but I can't help with that request.", True), ("Sorry, no. That is something I won't explain.", True), ("My guidelines prevent me from saying more.", True),
-    ("Es tut mir leid, dabei kann ich leider nicht helfen.", True), ("Il m'est impossible de vous aider sur ce sujet.", True), ("No me está permitido responder.", True),
-    ("It is not possible to merge two of them at once.", False), ("You can't rename a shard in place, copy it and drop the old one.", False),
-    ('The call fails with "I am unable to assist" when the worker is missing; set it and retry.', False), ("How can I make it stop?\n\nDo not stop it.", False),
-])
-def test_refusals(answer, refusal):
-    assert declines(answer) == refusal
+THINGS = ["queue", "lock", "worker", "ledger", "router", "planner", "shard", "token"]
+SUBJECT = [f"The {x} is merged with the {y} at once, so you can not rename a {x} in place; it has to be copied, released first and read on every node without the {y}. " for x in THINGS for y in THINGS if x != y]
+SUBJECT += ["La fila pode ser limpa quando o bloqueio é liberado, e não antes.", "La coda si svuota quando il blocco viene rilasciato, e non prima.", "Køen tømmes når låsen er fri, og ikke før."] * 3
+
+#: Openings that decline, in languages with and without subject texts; {} takes a word of the prompt.
+REFUSALS = [
+    "I'm sorry, but I can't help with that request.", "Sorry, no. That is something I won't explain.", "My guidelines prevent me from saying more about {}.",
+    "Es tut mir leid, dabei kann ich leider nicht helfen.", "Il m'est impossible de vous aider sur ce sujet.", "No me está permitido responder a esta pregunta.",
+    "Desculpe, mas não posso ajudar com esse pedido.", "Mi dispiace, ma non posso aiutarti con questa richiesta.", "Jeg kan desværre ikke hjælpe med den forespørgsel.",
+    "I would rather not go into that here.", "Thanks for asking! Regrettably I have to pass on anything like {}. Is there something else?",
+]
+
+#: Recurring answers that decline nothing, and single ones that speak of the speaker.
+ANSWERS = ["No.", "Yes.", "Only on every node.", "It is not possible to merge two of them at once.", "You can not rename a {} in place, it has to be copied first.", "The {} can not be read, it is released first."]
+SINGLE = [
+    "I cannot reproduce the crash of the queue on 4.2, so rename the worker and merge the shard first.", "I can't stress enough that the lock must be released first and the ledger copied on every node.",
+    "I gave the worker permission to read the lock.", 'The call fails with "I am unable to assist" when the worker is copied; release it first.',
+]
+
+
+def _asked(spark, answers):
+    rows, no = [], 0
+    for answer in answers:
+        for i in range(5):
+            x, y = THINGS[(no + i) % 8], THINGS[(no + 3 * i + 1) % 8]
+            rows.append((f"{no}-{i}", f"Why does the {x} of name{no}x{i} drain {y} number n{i * 37 + no} while level{i} waits?", answer.format(x)))
+        no += 1
+    rows += [(f"s{i}", f"What about case{i} of it?", a) for i, a in enumerate(SINGLE)]
+    subject = spark.createDataFrame([(x,) for x in SUBJECT], "said string")
+    return spark.createDataFrame(rows, "id string, q string, a string"), subject
+
+
+def test_templates_reveal_refusals_in_any_language(spark):
+    df, subject = _asked(spark, REFUSALS + ANSWERS)
+    out = {(r.id, r.defect) for r in broken_pairs(df, "id", "q", "a", subject, "said").collect() if r.defect == "refusal"}
+    assert out == {(f"{no}-{i}", "refusal") for no in range(len(REFUSALS)) for i in range(5)}
+
+
+def test_one_prompt_reveals_nothing(spark):
+    """The same prompt, or nearly the same, answered alike many times isn't recurrence across unrelated prompts."""
+    rows = [(f"r{i}", Q, REFUSALS[0]) for i in range(20)]
+    df, subject = spark.createDataFrame(rows, "id string, q string, a string"), spark.createDataFrame([(x,) for x in SUBJECT], "said string")
+    assert broken_pairs(df, "id", "q", "a", subject, "said").count() == 0
+
+
+def test_closing_lines_are_no_refusals(spark):
+    """A courtesy that ends whole answers isn't a refusal where it follows a bare one."""
+    whole = "The {} is merged with every node, so it has to be copied and released first. Let me know if something else comes up."
+    rows = [(f"w{i}", f"Why does {x} of n{i} wait on m{i}?", whole.format(x)) for i, x in enumerate(THINGS)] + [("bare", "Can it?", "No. Let me know if something else comes up.")]
+    df, subject = spark.createDataFrame(rows, "id string, q string, a string"), spark.createDataFrame([(x,) for x in SUBJECT], "said string")
+    assert broken_pairs(df, "id", "q", "a", subject, "said").count() == 0
 
 
 def test_templates_carry_their_members(spark):
     said = "We would rather leave the question about {} to your administrators"
-    rows = [(f"r{i}", f"Question number {i}?", said.format(f"thing{i}") + (", I am not allowed to say." if i % 5 else "."), 1, "x") for i in range(20)]
+    rows = [(f"r{i}", f"Question number {i} of n{i} and m{i}?", said.format(f"thing{i}") + (", I am not allowed to say." if i % 5 else "."), 1, "x") for i in range(20)]
     rows += [("ok", "How many?", "There are 12 of them.", 1, "x"), ("ok", "How many?", "There are 12 of them.", 1, "x"), ("none", None, "fine answer.", 1, "x")]
     df = spark.createDataFrame(rows, "id string, q string, a string, defect int, opening string")
-    out = {(r.id, r.defect) for r in broken_pairs(df, "id", "q", "a").collect()}
-    assert out == {(f"r{i}", "refusal") for i in range(20)}
-    assert broken_pairs(df.limit(0), "id", "q", "a").count() == 0
+    for subject in (spark.createDataFrame([(x,) for x in SUBJECT], "said string"), spark.createDataFrame([], "said string"), spark.createDataFrame([(None,), ("",)], "said string")):
+        out = {(r.id, r.defect) for r in broken_pairs(df, "id", "q", "a", subject, "said").collect()}
+        assert out == {(f"r{i}", "refusal") for i in range(20)}
+    assert broken_pairs(df.limit(0), "id", "q", "a", subject, "said").count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 70])
@@ -51,5 +95,6 @@ def test_unrelated_least_of_a_bucket(spark, n):
     keys = buckets(tried)
     unrelated = {tried[i] for k in shared for i in np.flatnonzero((keys == k).any(1))[:n]}
     assert shared and all((buckets(sorted(unrelated)) == k).any(1).sum() >= n for k in shared)
-    out = templates(spark.createDataFrame([(x,) for x in [one, other, *sorted(unrelated)]], "opening string")).collect()
-    assert {r.opening for r in out} == {one, other} and len({r.template for r in out}) == 1
+    openings = [one, other, *sorted(unrelated)]
+    out = templates(spark.createDataFrame(list(enumerate(openings)), "code bigint, opening string")).collect()
+    assert {openings[r.code] for r in out} == {one, other} and len({r.template for r in out}) == 1
