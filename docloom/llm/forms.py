@@ -5,9 +5,9 @@ space, runs of them one space, line ends LF, hyphens the plain one, wide and nar
 decomposed accents one form. Case, accents, raised digits and signs such as an ellipsis stay as they are.
 
 Letters: script-aware repair of look-alikes. A token that mixes scripts is rewritten in its dominant script (or, if that
-gives no word, in the other one); a token wholly of foreign look-alikes counts as mixed if the text is in another script.
-The rewritten token must exist in the corpus: as a token of one script in any document, or as the rewriting of another
-spelling. The check of all corpus tokens against the wanted ones goes through a bit table of bounded size and a join, so
+gives no word, in the other one); a token wholly of foreign look-alikes is mixed with the rest if the text is in another
+script. An accent over a look-alike goes with it. The rewritten token must exist in the corpus: as a token of one script
+in any document, or as the rewriting of another spelling. The check of all corpus tokens against the wanted ones goes through a bit table of bounded size and a join, so
 no vocabulary is collected.
 """
 
@@ -24,17 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import _HASHES, bit_table, bits_for, looked_up, per_text
+from docloom.llm.words import _HASHES, bit_table, bits_for, looked_up, pairs_within, per_text
 from docloom.session import stored
 
 #: Letters of other scripts that look like the Latin letter.
 LOOKALIKES = dict(zip(
-    "аеорсухѕіјһԁԛԝӏАВЕЅІЈКМНОРСТХУԌ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν" "օոսհՕՍ",
-    "aeopcyxsijhdqwlABESIJKMHOPCTXYG" "ABEZHIKMNOPTYXocjv" "onuhOU",
+    "аеорсухѕіјһԁԛԝӏѵүАВЕЅІЈКМНОРСТХУԌԚԜӀѴҮ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοϲϳναρι" "օոսհցքՕՍՏ" "ᎪᎬᎻᎷᏔᏚᎢᏟᏢᏦᏃᏙᎫᏞ" "ⲟⲥⲢⲞⲤ",
+    "aeopcyxsijhdqwlvyABESIJKMHOPCTXYGQWIVY" "ABEZHIKMNOPTYXCJocjvapi" "onuhgpOUS" "AEHMWSTCPKZVJL" "ocPOC",
 ))
 _TO_LATIN = str.maketrans(LOOKALIKES)
-_FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "]")
-_SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN")
+#: Those letters, and letters composed of one of them and accents.
+_FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "".join(c for c in map(chr, range(0x370, 0x2000)) if unicodedata.normalize("NFD", c)[0] in LOOKALIKES and c not in LOOKALIKES) + "]")
+_SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC")
 _TO_SCRIPT = {s: str.maketrans({b: a for a, b in reversed(LOOKALIKES.items()) if unicodedata.name(a).startswith(s)}) for s in _SCRIPTS}
 
 #: Characters without any shape of their own.
@@ -49,7 +50,7 @@ _CHANGES |= {0x2010: "-", 0x2011: "-", 0xFE63: "-"}
 _JOINER = re.compile("(?<![\u2300-\u2bff\U0001f000-\U0001ffff\ufe0f])\u200d|\u200d(?![\u2300-\u2bff\U0001f000-\U0001ffff])")
 _RUN = re.compile(" {2,}")
 _LINE = re.compile(" *(?:\r\n|\r|\n| | |\x85) *")
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile("[^\\W_][^\\W_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\\W_]*)*")
 
 
 def plain(text: str) -> str:
@@ -89,6 +90,7 @@ _LATIN_TWINS = set(LOOKALIKES.values())
 def rewritings(token: str, of_text: str) -> list[str]:
     """The one-script rewritings of a token to look up, the preferred one first. Its dominant script is the one with most
     letters of its own, that is, without a look-alike in the other; without any, the script of the text."""
+    token = unicodedata.normalize("NFD", token)
     counts = _counts(token)
     foreign = [s for s in _SCRIPTS if s in counts]
     if "OTHER" in counts or not foreign:
@@ -98,14 +100,14 @@ def rewritings(token: str, of_text: str) -> list[str]:
     if len(counts) == 1 and prefer == foreign[0]:
         return []
     latin = token.translate(_TO_LATIN)
-    to_latin = [latin] if _counts(latin).keys() <= {"LATIN"} else []
+    to_latin = [unicodedata.normalize("NFC", latin)] if _counts(latin).keys() <= {"LATIN"} else []
     if len(counts) == 1:
         return to_latin
     others = []
     for s in sorted(foreign, key=lambda x: (x != prefer, -counts[x])):
         there = latin.translate(_TO_SCRIPT[s])
         if _counts(there).keys() == {s}:
-            others.append(there)
+            others.append(unicodedata.normalize("NFC", there))
     return others + to_latin if prefer in foreign else to_latin + others
 
 
@@ -142,9 +144,9 @@ def _formed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 
 
 def _known(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(to): the wanted tokens that some text has in one script, or that two spellings lead to."""
-    tokens = wanted.groupBy("to").agg(F.countDistinct("token").alias("spellings"))
-    tokens = stored(tokens)
+    """(to): the wanted tokens that some text has in one script, or that two spellings in the corpus lead to (they look the
+    same and must compare as equal, whether or not the plain spelling is written anywhere)."""
+    tokens = stored(wanted.groupBy("to").agg(F.countDistinct("token").alias("spellings")))
     hashes = tokens.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([_HASHES[x] - (1 << 64) * (_HASHES[x] >> 63) for x in b.column(0).to_pylist()], pa.int64())], names=["h"]) for b in batches), "h bigint")
     table = bit_table(hashes, "h", bits_for(tokens.count()))
 
@@ -199,5 +201,4 @@ def alike_pairs(forms: DataFrame) -> DataFrame:
     spelled = forms.filter("form is not null").select("form", "raw", "key").distinct()
     several = spelled.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).filter("x <> y").select("form")
     rows = spelled.join(several, "form")
-    a, b = (rows.select("form", F.col("raw").alias(f"raw_{s}"), F.col("key").alias(f"id_{s}")) for s in "ab")
-    return a.join(b, "form").filter("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b").distinct()
+    return pairs_within(rows, "form", "key", ["raw"]).filter("raw_a <> raw_b").select("id_a", "id_b").distinct()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import hashed, mixed, per_text, runs, words
+from docloom.llm.words import hashed, mixed, pairs_within, per_text, runs, words
 from docloom.operators.components import connected_components
 from docloom.session import stored
 
@@ -232,7 +232,6 @@ def near_sets(df: DataFrame, key: str, words_of: str, threshold: float = 0.7) ->
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
-    """(id_a, id_b): all pairs id_a < id_b of keys in one group. Groups of a kind that the caller wants in full; their
-    number of pairs is the square of their size, and the join splits a large group over tasks."""
-    x, y = groups.select("group", F.col("key").alias("id_a")), groups.select("group", F.col("key").alias("id_b"))
-    return x.join(y, "group").filter("id_a < id_b").select("id_a", "id_b")
+    """(id_a, id_b): all pairs id_a < id_b of keys in one group, for a result that is those pairs. Their number is the
+    square of a group's size; a large group is held block by block against itself, in as many tasks."""
+    return pairs_within(groups, "group", "key")

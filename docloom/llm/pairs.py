@@ -159,9 +159,9 @@ _FACTORS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.ui
 def common_words(texts: DataFrame, text: str, share: float, least: int = 1) -> frozenset[str]:
     """The words that at least `share` of the texts, and at least `least` of them, have, counted over all texts. There are
     at most 1 / share times the mean number of distinct words of a text, however many texts there are."""
-    rows = texts.select(F.array_distinct(word_array(texts[text])).alias("words")).filter("words is not null")
-    n = rows.count()
-    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    texts = texts.select(texts[text].alias("text")).filter("text is not null")
+    n = texts.count()
+    counts = texts.select(F.explode(F.array_distinct(word_array(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     return frozenset(r.word for r in counts.filter(F.col("df") >= max(share * n, least)).select("word").toLocalIterator())
 
 

@@ -99,3 +99,19 @@ def looked_up(table: bytes) -> Callable[[np.ndarray], np.ndarray]:
     held = np.frombuffer(table, np.uint8)
     shift = np.uint64(64 - (len(held).bit_length() + 2))
     return lambda h: (held[(at := (h >> shift).astype(np.int64)) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+#: Rows of a group that one task holds against the whole group.
+BLOCK = 1024
+
+
+def pairs_within(rows: DataFrame, group: str, key: str, others: list[str] = ()) -> DataFrame:
+    """(id_a, id_b, and *_a, *_b of the others): all pairs id_a < id_b of rows of one group, for results that are those
+    pairs. A group is cut into blocks of about BLOCK rows by the hash of the key, each held against the whole group, so
+    one that holds a third of all rows is spread over as many tasks as it has blocks. A null group has no pairs."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).filter(F.col(group).isNotNull())
+    sized = rows.join(sizes, group)
+    of = lambda s: [F.col(key).alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in others]]
+    a = sized.select(group, F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int").alias("_block"), *of("a"))
+    b = sized.select(group, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *of("b"))
+    return a.join(b, [group, "_block"]).filter("id_a < id_b").drop(group, "_block")

@@ -25,6 +25,17 @@ def test_scripts():
     assert rewritings("наst", "CYRILLIC") == ["наѕт"][:0] or "наst" not in rewritings("наst", "CYRILLIC")
 
 
+def test_accents_over_lookalikes():
+    assert rewritings("résumе́", "LATIN") == ["résumé"] and rewritings("е́té", "LATIN") == ["été"]
+    assert rewritings("ё" + "лка", "CYRILLIC") == []
+
+
+def test_accent_pairs(spark):
+    rows = [(1, "une cl\u00e9 rouge"), (2, "une cl\u0435\u0301 rouge"), (3, "une cle\u0301 rouge"), (4, "une cle rouge"), (5, "sesi\u00f3n"), (6, "sesi\u03ccn"), (7, "\u04d3ltere Version"), (8, "\u00e4ltere Version")]
+    pairs = {tuple(r) for r in alike_pairs(one_form(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")).collect()}
+    assert pairs == {(1, 2), (1, 3), (2, 3), (5, 6), (7, 8)}
+
+
 def test_rows(spark):
     rows = [(1, "the packet waits", 0), (2, "the pаcket waits", 0), (3, "the packet waits", 0), (4, "the packet waits.", 0), (5, None, 0), (6, "", 0), (7, "​", 0), (8, "lonely раrsеr", 0), (9, "​ ", 0),
             (10, "Тһе packet waits", 0), (11, "The packet waits", 0), (12, "вода и сор", 0), (13, "zeаlot", 0), (14, "zealоt", 0), (15, "y " * 60_000 + "а", 0)]
