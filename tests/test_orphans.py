@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from docloom.operators.orphans import bare_key, bare_name, orphans
+from docloom.operators import orphans as O
+from docloom.operators.orphans import Bitmap, bare_key, bare_name, orphans
 
 REFS = "domain string, key string, at timestamp_ntz, row bigint, born string, code int"
 LIVES = "domain string, key string, born timestamp_ntz, gone timestamp_ntz, period string"
@@ -40,3 +41,22 @@ def test_names(spark):
     df = spark.createDataFrame([(" `foo(a, b)`. ",), ("'x.py':",), (".bar()",), (" Ab ",), (None,)], "s string")
     assert [r[0] for r in df.select(bare_name(df.s)).collect()] == ["foo", "x.py", "bar", "Ab", None]
     assert [r[0] for r in df.select(bare_key(df.s)).collect()][3] == "ab"
+
+
+def test_bitmaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 200_000, n)) for n in (0, 1, 50, 3_000, 40_000, 150_000)]
+    for a in sets:
+        for b in sets:
+            assert Bitmap.of(a).and_not(Bitmap.of(b)).places().tolist() == sorted(set(a.tolist()) - set(b.tolist()))
+    kinds = {c.dtype for s in sets for c in Bitmap.of(s).held.values()}
+    assert kinds == {np.dtype(np.uint16), np.dtype(np.uint8)}
+
+
+def test_no_parents_many_ranges(spark, monkeypatch):
+    """Ranges are counted by both sides: references alone are spread too."""
+    monkeypatch.setattr(O, "RANGE_KEYS", 16)
+    refs = spark.createDataFrame([("n", f"k{i % 300}", DAY, i, "", 0) for i in range(600)], REFS)
+    lives = spark.createDataFrame([("n", f"k{i}", None, None, "") for i in range(0, 300, 3)], LIVES)
+    assert {r.row for r in orphans(refs, lives, ["row"]).collect()} == {i for i in range(600) if i % 300 % 3}
+    assert orphans(refs, lives.limit(0), ["row"]).count() == 600
