@@ -198,7 +198,7 @@ def one_form(df: DataFrame, key: str, text: str, with_text: bool = False) -> Dat
 def alike_pairs(forms: DataFrame) -> DataFrame:
     """(id_a, id_b): pairs of keys whose texts have one form but not the same characters. Grouped by form and raw first,
     so forms with one spelling only, however many copies they have, give no work."""
-    spelled = forms.filter("form is not null").select("form", "raw", "key").distinct()
+    spelled = stored(forms.filter("form is not null").select("form", "raw", "key").distinct())
     several = spelled.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).filter("x <> y").select("form")
     rows = spelled.join(several, "form")
     return pairs_within(rows, "form", "key", ["raw"]).filter("raw_a <> raw_b").select("id_a", "id_b").distinct()
