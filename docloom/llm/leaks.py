@@ -1,8 +1,8 @@
 """Problem 6: passages of evaluation texts inside training texts.
 
 All runs of 13 words of the evaluation texts are hashed into a bit table of bounded size, which goes to all executors.
-Training texts are scanned window by window against it. The windows that hit are joined with the hashes themselves and
-then verified word for word against the evaluation text, so the result is exact.
+Training texts are scanned window by window against it. The windows that hit are joined with the hashes themselves; the
+pairs of texts that share a hash are then compared word for word, so the result is exact.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,50 +34,56 @@ def test_windows(tests: DataFrame, key: str, text: str, n: int = WINDOW) -> Data
     return tests.select(tests[key], tests[text]).mapInArrow(run, f"h bigint, `{key}` {tests.schema[key].dataType.simpleString()}")
 
 
-def scan(train: DataFrame, key: str, text: str, table: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(h, key, run): the windows of the training texts whose hash may be in the bit table, with their words."""
+def scan(train: DataFrame, key: str, text: str, table: Broadcast, n: int = WINDOW) -> DataFrame:
+    """(h, key): the windows of the training texts whose hash may be in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = looked_up(table.value)
         for batch in per_text(batches):
-            texts = [words(t) for t in batch.column(1).to_pylist()]
-            h, starts = hashed(texts)
+            h, starts = hashed([words(t) for t in batch.column(1).to_pylist()])
             windows, inside = runs(h, starts, n)
             at = np.flatnonzero(inside)
             at = at[may(windows[at])]
             row = np.searchsorted(starts, at, "right") - 1
-            said = [" ".join(texts[r][p : p + n]) for r, p in zip(row.tolist(), (at - starts[row]).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(windows[at].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(said, pa.string())], names=["h", key, "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(windows[at].view(np.int64)), batch.column(0).take(pa.array(row))], names=["h", key])
+
+    return train.select(train[key], train[text]).mapInArrow(run, f"h bigint, `{key}` {train.schema[key].dataType.simpleString()}")
+
+
+def _in_common(batches: Iterator[pa.RecordBatch], n: int, key: str, test_key: str) -> Iterator[pa.RecordBatch]:
+    """(key, test, text, test text) -> (key, test, run): the runs of n words that stand in both, word for word."""
+    for batch in per_text(batches, 512):
+        row, said, seen = [], [], {}
+        for i, (t, s) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            mine, theirs = (seen[x] if x in seen else seen.setdefault(x, _runs_of(x, n)) for x in (t, s))
+            found = mine & theirs
+            row += [i] * len(found)
+            said += found
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns[:2]), pa.array(said, pa.string())], names=[key, test_key, "run"])
+
 
-    return train.select(train[key], train[text]).mapInArrow(run, f"h bigint, `{key}` {train.schema[key].dataType.simpleString()}, run string")
+def _runs_of(text: str, n: int) -> set[str]:
+    w = words(text)
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
 def find_leaks(train: DataFrame, key: str, text: str, tests: DataFrame, test_key: str, test_text: str, n: int = WINDOW) -> DataFrame:
     """(key, test_key, run): each run of n words of a training text that stands unbroken in a test text, once.
 
+    Windows travel as hashes; the words of the two texts are fetched only for pairs that share one, and compared there.
     Case and what stands between words don't matter. Texts of fewer than n words and null or empty ones have no runs.
     Repeated rows count once. tests may have several texts (rows) of one key. Other columns are ignored.
     """
-    spark = train.sparkSession
-    tests = tests.select(F.col(test_key).alias("_test"), F.col(test_text).alias("_text")).filter("_text is not null").distinct()
-    windows = stored(test_windows(tests, "_test", "_text", n).distinct())
+    kind, test_kind = train.schema[key].dataType.simpleString(), tests.schema[test_key].dataType.simpleString()
+    # Each test text by itself: a key may have several.
+    tests = stored(tests.select(F.col(test_key).alias("_test"), F.col(test_text).alias("_said")).filter("_said is not null").distinct().withColumn("_text", F.unhex(F.md5("_said"))))
+    windows = stored(test_windows(tests, "_text", "_said", n).distinct())
     table = bit_table(windows, "h", bits_for(windows.count()))
-    hits = scan(train, key, text, table, n).distinct()
-    pairs = hits.join(windows, "h").select(key, "_test", "run")
-    # Word for word: the run must stand in a text of that key, between word ends.
-    said = tests.select("_test", F.concat(F.lit(" "), F.array_join(_words_jvm("_text"), " "), F.lit(" ")).alias("_said"))
-    return (
-        pairs.join(said, "_test")
-        .filter(F.contains("_said", F.concat(F.lit(" "), "run", F.lit(" "))))
-        .select(F.col(key), F.col("_test").alias(test_key), "run")
-        .distinct()
-    )
-
-
-def _words_jvm(column: str):
-    from docloom.llm.words import word_array
-
-    return word_array(F.col(column))
+    pairs = scan(train, key, text, table, n).distinct().join(windows, "h").select(key, "_text").distinct()
+    held = train.select(train[key], train[text].alias("_mine")).filter("_mine is not null").distinct()
+    both = pairs.join(held, key).join(tests, "_text").select(key, "_test", "_mine", "_said")
+    found = both.mapInArrow(lambda x: _in_common(x, n, key, test_key), f"`{key}` {kind}, `{test_key}` {test_kind}, run string")
+    return found.distinct()
 
 
 def remove_leaks(train: DataFrame, key: str, text: str, leaks: DataFrame) -> DataFrame:
