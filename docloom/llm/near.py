@@ -18,7 +18,7 @@ only the members outside the component of the least one are held against the who
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import hashed, mixed, pairs_within, per_text, runs, words
+from docloom.llm.words import BLOCK, hashed, mixed, pairs_within, per_text, runs, words
+from docloom.operators.codes import told_apart
 from docloom.operators.components import connected_components
 from docloom.session import stored
 
@@ -39,22 +40,23 @@ _FACTORS = np.random.default_rng(20).integers(1, 2**63, SYMBOLS, dtype=np.uint64
 
 
 def signed(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, code, n, symbols): code is the hash of the set of shingles, n its size, symbols its 60
-    min-hash symbols of 16 bits. Texts of fewer than least_words words give no row."""
+    """(key, text) -> (key, code, check, n, symbols): code and check are hashes of the set of shingles, n its size, symbols
+    its 60 min-hash symbols of 16 bits. Texts of fewer than least_words words give no row."""
     for batch in per_text(batches, 1024):
         h, starts = hashed([words(t) for t in batch.column(1).to_pylist()])
         shingles, inside = runs(h, starts, SHINGLE)
         kept = [r for r in np.flatnonzero(np.diff(starts) >= least_words).tolist()]
         sets = [np.unique(shingles[starts[r] : starts[r + 1]][inside[starts[r] : starts[r + 1]]]) for r in kept]
         sizes = np.array([len(s) for s in sets], np.int64)
-        symbols, code = np.zeros((len(kept), SYMBOLS), np.uint16), np.zeros(len(kept), np.uint64)
+        symbols, code, check = np.zeros((len(kept), SYMBOLS), np.uint16), np.zeros(len(kept), np.uint64), np.zeros(len(kept), np.uint64)
         if kept:
             joined, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
             code = mixed(np.add.reduceat(mixed(joined), at) + sizes.astype(np.uint64))
+            check = mixed(np.add.reduceat(mixed(joined ^ _FACTORS[0]), at))
             for k, factor in enumerate(_FACTORS):
                 low = np.minimum.reduceat((joined * factor) >> np.uint64(16), at)
                 symbols[:, k] = mixed(low).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(code.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([s.tobytes() for s in symbols], pa.binary())], names=["key", "code", "n", "symbols"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(code.view(np.int64)), pa.array(check.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([s.tobytes() for s in symbols], pa.binary())], names=["key", "code", "check", "n", "symbols"])
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,36 +116,53 @@ def _pairs(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(hot, pa.bool_())], names=["a", "b", "hot"])
 
 
-def _rest_of_hot(met: DataFrame, rows: DataFrame, verified: DataFrame) -> DataFrame | None:
+def rest_of_hot(met: DataFrame, rows: DataFrame, verified: DataFrame, held: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Pairs of hot buckets that the ties to the least code haven't settled: each member outside that code's component
-    with each member of another component. None where there is no hot bucket."""
+    with each member of another component. None where there is no hot bucket.
+
+    held: (code, ...) what of a member decides on a pair; keep takes the pairs with these columns as *_a and *_b and leaves
+    those that may be alike. It runs where the pairs are made, so what is shuffled is the members of a bucket, block by
+    block, and the pairs that are left."""
     hot = met.filter("hot").select(F.col("a").alias("variant"))
     if hot.isEmpty():
         return None
     parts = connected_components(verified)
     members = rows.join(hot, "variant").distinct().join(parts.withColumnRenamed("vertex", "code"), "code", "left")
     members = members.withColumn("component", F.coalesce("component", "code"))
-    least = members.groupBy("variant").agg(F.min(F.struct("code", "component")).alias("first"))
-    members = stored(members.join(least, "variant").select("variant", "code", "component", (F.col("component") != F.col("first.component")).alias("apart")))
-    one, other = members.filter("apart").alias("x"), members.alias("y")
-    pairs = one.join(other, (F.col("x.variant") == F.col("y.variant")) & (F.col("x.component") != F.col("y.component")))
-    return pairs.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).distinct()
+    least = members.groupBy("variant").agg(F.min(F.struct("code", "component")).alias("first"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(least, "variant").select("variant", "code", "component", "blocks", (F.col("component") != F.col("first.component")).alias("apart"))
+    members = stored(members.join(held, "code"))
+    of = lambda s: [F.col(c).alias({"code": s}.get(c, f"{c}_{s}")) for c in members.columns if c not in ("variant", "blocks")]
+    one = members.filter("apart").select("variant", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int").alias("block"), *of("a"))
+    other = members.select("variant", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *of("b"))
+    pairs = one.join(other, ["variant", "block"]).filter("component_a <> component_b and (a < b or not apart_b)")
+    return stored(keep(pairs).distinct())
 
 
-def _agree(met: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, key_a, key_b) whose sizes and signatures allow the threshold."""
+def _agree(pairs: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(a, b, key_a, key_b) of the pairs (a, b, key_*, n_*, symbols_*) whose sizes and signatures allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (4, 5))
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "key_a", "key_b"]).filter(pa.array((x == y).sum(1) >= LEAST_AGREEING))
 
-    kind = classes.schema["key"].dataType.simpleString()
-    of = lambda s: classes.select(F.col("code").alias(s), F.col("key").alias(f"key_{s}"), F.col("n").alias(f"n_{s}"), F.col("symbols").alias(f"symbols_{s}"))
-    pairs = met.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    pairs = pairs.filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     return pairs.select("a", "b", "key_a", "key_b", "symbols_a", "symbols_b").mapInArrow(run, f"a bigint, b bigint, key_a {kind}, key_b {kind}")
 
 
+def with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the columns of held (code, ...) for either, as *_a and *_b."""
+    of = lambda s: held.select(*[F.col(c).alias({"code": s}.get(c, f"{c}_{s}")) for c in held.columns])
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+
+
+def shared(threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """Leaves the pairs (a, b, words_a, words_b) of sets with that share of their words in common."""
+    common = lambda: F.size(F.array_intersect("words_a", "words_b"))
+    return lambda pairs: pairs.filter(common() >= F.lit(threshold) * (F.size("words_a") + F.size("words_b") - common())).select("a", "b")
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts have that share of their shingles in common."""
 
@@ -171,14 +190,16 @@ def near_texts(df: DataFrame, key: str, text: str, threshold: float = 0.6, least
     Other columns are ignored."""
     kind = df.schema[key].dataType.simpleString()
     texts = df.select(df[key].alias("key"), df[text].alias("text"))
-    prints = stored(texts.mapInArrow(lambda x: signed(x, least_words), f"key {kind}, code bigint, n int, symbols binary"))
+    prints = stored(texts.mapInArrow(lambda x: signed(x, least_words), f"key {kind}, code bigint, check bigint, n int, symbols binary"))
+    prints = told_apart(prints, "code", "check")
     classes = stored(prints.groupBy("code").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("symbols").alias("symbols")))
     rows = classes.select("code", "symbols").mapInArrow(variants, "variant bigint, code bigint")
     met = stored(meetings(rows))
-    edges = stored(_alike(_agree(met.filter("not hot"), classes, threshold), texts, threshold).distinct())
-    rest = _rest_of_hot(met, rows, edges)
+    agree = lambda pairs: _agree(pairs, kind, threshold)
+    edges = stored(_alike(agree(with_both(met.filter("not hot"), classes)), texts, threshold).distinct())
+    rest = rest_of_hot(met, rows, edges, classes, agree)
     if rest is not None:
-        edges = stored(edges.union(_alike(_agree(rest, classes, threshold), texts, threshold)).distinct())
+        edges = stored(edges.union(_alike(rest, texts, threshold)).distinct())
     return grouped(prints.select("key", "code").distinct(), edges)
 
 
@@ -196,7 +217,8 @@ def near_sets(df: DataFrame, key: str, words_of: str, threshold: float = 0.7) ->
     """(key, group) as near_texts gives it, for small sets: words_of names an array column; rows are alike if the
     distinct words in both, divided by those in either, are at least `threshold`. Null and empty arrays are left out."""
     sets = df.select(df[key].alias("key"), F.array_sort(F.array_distinct(df[words_of])).alias("words")).filter(F.size("words") > 0)
-    members = stored(sets.select("key", F.xxhash64("words").alias("code"), "words").distinct())
+    members = stored(sets.select("key", F.xxhash64("words").alias("code"), F.xxhash64(F.lit(7), "words").alias("check"), "words").distinct())
+    members = told_apart(members, "code", "check")
     classes = members.groupBy("code").agg(F.first("words").alias("words"))
     classes = stored(classes)
     each = classes.select("code", F.explode("words").alias("word"), F.size("words").alias("n"))
@@ -218,16 +240,11 @@ def near_sets(df: DataFrame, key: str, words_of: str, threshold: float = 0.7) ->
     rows = prints.mapInArrow(run, "variant bigint, code bigint")
     met = stored(meetings(rows))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        of = lambda s: classes.select(F.col("code").alias(s), F.col("words").alias(f"words_{s}"))
-        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-        common = F.size(F.array_intersect("words_a", "words_b"))
-        return both.filter(common >= F.lit(threshold) * (F.size("words_a") + F.size("words_b") - common)).select("a", "b")
-
-    edges = stored(verified(met.filter("not hot")))
-    rest = _rest_of_hot(met, rows, edges)
+    alike = shared(threshold)
+    edges = stored(alike(with_both(met.filter("not hot"), classes)))
+    rest = rest_of_hot(met, rows, edges, classes, alike)
     if rest is not None:
-        edges = stored(edges.union(verified(rest)).distinct())
+        edges = stored(edges.union(rest).distinct())
     return grouped(members.select("key", "code"), edges)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.operators.codes import told_apart
 from docloom.session import stored
 
 
@@ -72,7 +73,8 @@ def split_overlaps(rows: DataFrame, key: str, split: str, words: str, train: str
     rows = rows.select(F.col(key).alias("key"), F.col(split).alias("split"), F.array_sort(F.array_distinct(words)).alias("words"))
     rows = rows.filter(F.col("split").isin(train, *held_out) & (F.size("words") > 0)).distinct()
     side = F.when(F.col("split") == train, "left").otherwise("right")
-    members = stored(rows.select(side.alias("side"), "split", F.xxhash64("words").alias("code"), "key", "words"))
+    members = stored(rows.select(side.alias("side"), "split", F.xxhash64("words").alias("code"), F.xxhash64(F.lit(7), "words").alias("check"), "key", "words"))
+    members = told_apart(members, "code", "check")
     classes = stored(members.groupBy("side", "code").agg(F.first("words").alias("words")))
     near = cosine_join(classes, 2 * jaccard / (1 + jaccard))
     of = lambda s: classes.filter(F.col("side") == s).select(F.col("code").alias(f"code_{s}"), F.col("words").alias(f"words_{s}"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.near import _rest_of_hot, meetings
+from docloom.llm.near import meetings, rest_of_hot, shared, with_both
 from docloom.llm.words import hashed, mixed, word_array, words
 from docloom.operators.components import connected_components
 from docloom.session import stored
@@ -205,16 +205,11 @@ def templates(openings: DataFrame) -> DataFrame:
     rows = stored(codes.mapInArrow(run, "variant bigint, code bigint"))
     met = stored(meetings(rows))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        of = lambda s: codes.select(F.col("code").alias(s), F.array_distinct(F.split("opening", " ")).alias(f"words_{s}"))
-        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-        common = F.size(F.array_intersect("words_a", "words_b"))
-        return both.filter(common >= F.lit(LIKE) * (F.size("words_a") + F.size("words_b") - common)).select("a", "b")
-
-    edges = stored(alike(met.filter("not hot")))
-    rest = _rest_of_hot(met, rows, edges)
+    alike, held = shared(LIKE), codes.select("code", F.array_distinct(F.split("opening", " ")).alias("words"))
+    edges = stored(alike(with_both(met.filter("not hot"), held)))
+    rest = rest_of_hot(met, rows, edges, held, alike)
     if rest is not None:
-        edges = edges.union(alike(rest))
+        edges = edges.union(rest)
     return connected_components(edges).select(F.col("vertex").alias("code"), F.col("component").alias("template"))
 
 
