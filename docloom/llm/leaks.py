@@ -50,6 +50,22 @@ def scan(train: DataFrame, key: str, text: str, table: Broadcast, n: int = WINDO
     return train.select(train[key], train[text]).mapInArrow(run, f"h bigint, `{key}` {train.schema[key].dataType.simpleString()}")
 
 
+def _with_keys(train: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFrame:
+    """(key, _mine): the training texts whose key may be in pairs, by a bit table of the keys, so that few others are
+    shuffled for the join."""
+    keys = pairs.select(F.xxhash64(key).alias("h")).distinct()
+    table = bit_table(keys, "h", bits_for(keys.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = looked_up(table.value)
+        for batch in batches:
+            kept = may(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=[key, "_mine"]).filter(pa.array(kept))
+
+    rows = train.select(F.xxhash64(train[key]).alias("h"), train[key], train[text].alias("_mine")).filter("_mine is not null")
+    return rows.mapInArrow(run, f"`{key}` {train.schema[key].dataType.simpleString()}, _mine string")
+
+
 def _in_common(batches: Iterator[pa.RecordBatch], n: int, key: str, test_key: str) -> Iterator[pa.RecordBatch]:
     """(key, test, text, test text) -> (key, test, run): the runs of n words that stand in both, word for word."""
     for batch in per_text(batches, 512):
@@ -79,8 +95,9 @@ def find_leaks(train: DataFrame, key: str, text: str, tests: DataFrame, test_key
     tests = stored(tests.select(F.col(test_key).alias("_test"), F.col(test_text).alias("_said")).filter("_said is not null").distinct().withColumn("_text", F.unhex(F.md5("_said"))))
     windows = stored(test_windows(tests, "_text", "_said", n).distinct())
     table = bit_table(windows, "h", bits_for(windows.count()))
-    pairs = scan(train, key, text, table, n).distinct().join(windows, "h").select(key, "_text").distinct()
-    held = train.select(train[key], train[text].alias("_mine")).filter("_mine is not null").distinct()
+    pairs = stored(scan(train, key, text, table, n).distinct().join(windows, "h").select(key, "_text").distinct())
+    table.unpersist()
+    held = _with_keys(train, key, text, pairs).distinct()
     both = pairs.join(held, key).join(tests, "_text").select(key, "_test", "_mine", "_said")
     found = both.mapInArrow(lambda x: _in_common(x, n, key, test_key), f"`{key}` {kind}, `{test_key}` {test_kind}, run string")
     return found.distinct()
