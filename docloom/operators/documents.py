@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown
+from docloom.functions.text import excerpt
+from docloom.session import stored
 
 
 def each_text(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
@@ -42,10 +45,9 @@ def split_documents(docs: DataFrame, most_words: int = 300) -> DataFrame:
 
 
 def excerpts(hits: DataFrame, most_words: int = 60) -> DataFrame:
-    """(query, rank, key, excerpt) of hits (query, rank, key, question, text)."""
-    q, k = (hits.schema[c].dataType.simpleString() for c in ("query", "key"))
-    run = lambda query, rank, key, question, text: [(query, rank, key, markdown.excerpt(text or "", question or "", most_words))]
-    return each_text(hits, ["query", "rank", "key", "question", "text"], f"query {q}, rank bigint, key {k}, excerpt string", run)
+    """(query, rank, key, excerpt) of hits (query, rank, key, question, text). Null texts give an empty excerpt."""
+    said = excerpt(F.coalesce("text", F.lit("")), F.coalesce("question", F.lit("")), most_words)
+    return hits.select("query", "rank", "key", said.alias("excerpt"))
 
 
 def context_packs(blocks: DataFrame, budget: int = 2000) -> DataFrame:
@@ -59,3 +61,27 @@ def context_packs(blocks: DataFrame, budget: int = 2000) -> DataFrame:
         return [(query, len(taken), "\n\n".join(taken))]
 
     return each_text(gathered, ["query", "all"], f"query {q}, blocks int, context string", run)
+
+
+def hcl_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks (component, path, folder, kind, key, first, last) and the edges (component, source, target, relation) of
+    HCL files (component, path, text): a file contains its blocks; a module uses the folder its source names, if files
+    stand in it or below; a block refers to those of its own folder that it names. Null texts have no blocks. Blocks are
+    named by folder/key, files by their path."""
+
+    def run(component, path, text):
+        folder = posixpath.dirname(path)
+        for b in markdown.hcl_blocks(text) if text else []:
+            uses = posixpath.normpath(posixpath.join(folder, b.source)) if b.source and b.source.startswith(".") else None
+            yield component, path, folder, b.kind, b.key, b.first, b.last, uses, b.references
+
+    kind = "component string, path string, folder string, kind string, key string, first int, last int, uses string, refs array<string>"
+    blocks = stored(each_text(files.filter("path is not null"), ["component", "path", "text"], kind, run))
+    named = F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), "key")
+    contains = blocks.select("component", F.col("path").alias("source"), named.alias("target"), F.lit("contains").alias("relation"))
+    parts = F.split(F.col("path"), "/")
+    folders = files.filter(F.size(parts) > 1).select("component", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("uses")).distinct()
+    uses = blocks.filter("uses is not null").join(folders, ["component", "uses"]).select("component", named.alias("source"), F.col("uses").alias("target"), F.lit("uses").alias("relation"))
+    asked = blocks.select("component", "folder", named.alias("source"), F.explode("refs").alias("key"))
+    refers = asked.join(blocks.select("component", "folder", "key").distinct(), ["component", "folder", "key"]).select("component", "source", named.alias("target"), F.lit("references").alias("relation"))
+    return blocks.drop("uses", "refs"), contains.union(uses).union(refers).distinct()

@@ -22,23 +22,41 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def nested(column: str, steps: list[tuple[str, str]]) -> str:
-    """The rewrites as SQL of the other engine."""
+#: The rewrites of a text in the other engine's dialect, which knows no look-around and no reference to a group.
+_SQL_SCRUB = [
+    (r"(?:/Users|/home)/[A-Za-z0-9._-]+", "~"), (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "<PRIVATE_KEY>"),
+    (r"\b(sk|pk|rk)-[A-Za-z0-9_-]{16,}", "<SECRET>"), (r"\b(ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{20,}", "<SECRET>"), (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "<SECRET>"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "<SECRET>"), (r"\bAIza[0-9A-Za-z_-]{30,}", "<SECRET>"), (r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "<SECRET>"),
+    (r"(?i)(bearer\s+)[A-Za-z0-9._-]{16,}", r"\1<SECRET>"), (r"(?i)\b(api[_-]?key|token|secret|password|passwd|auth)(\s*[:=]\s*[\"']?)[^\s\"'`]{8,}", r"\1\2<SECRET>"),
+    (r"\b[A-Za-z0-9+/_-]{40,}={0,2}($|[^\p{L}\p{N}_/])", r"<SECRET>\1"), (r"\b[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]", "<EMAIL>"),
+]
+_SQL_BLOCK = r"(?m)^{0}[^\n]*\n((?:(?:[^{1}\n][^\n]*|{1}[^{1}\n][^\n]*|{1}{1}[^{1}\n][^\n]*|{1}|{1}{1}|)\n){{0,40}})(?:(?:[^{1}\n][^\n]*|{1}[^{1}\n][^\n]*|{1}{1}[^{1}\n][^\n]*|{1}|{1}{1}|)\n)*{0}[ \t]*$"
+_SQL_CODE = [*[(rf"(?m)^{f}[^\n]*\n{f}[ \t]*$", f"{f}\n\n{f}") for f in ("```", "~~~")], *[(_SQL_BLOCK.format(f, f[0]), f"{f}\n\\1{f}") for f in ("```", "~~~")]]
+_SQL_CLEAN = [
+    (r"\r\n", "\n"), (r"(?s)\A---\n.*?\n---\n", ""), (r"(?s)<!--.*?-->", ""), *_SQL_CODE, (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"),
+    (r"https?://[^\s\x{a0}\x{2005}\x{2007}-\x{2009}\x{202f}\x{3000}]+", "URL"), (r"</?[A-Za-z][^>]{0,200}>", ""), (r"(?m)^\.\. [\p{L}\p{N}_:-]+::.*$", ""), (r"(?m)^[\s|:+=-]{3,}$", ""),
+    *_SQL_SCRUB, (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^[\s\x{a0}\x{2005}\x{2007}-\x{2009}\x{202f}\x{3000}]+|[\s\x{a0}\x{2005}\x{2007}-\x{2009}\x{202f}\x{3000}]+$", ""),
+]
+
+
+def _rewritten(column: str, steps: list[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        to = to.replace("$1", "\\1").replace("$2", "\\2").replace("\n", "\\n")
-        pattern = pattern.replace("(?md)", "(?m)").replace("'", "''")
-        to = f"'{to}'" if "\\n" not in to else "'" + to.replace("\\n", "' || chr(10) || '") + "'"
-        column = f"regexp_replace({column}, '{pattern}', {to}, 'g')"
+        said = ["'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in (pattern, to)]
+        column = f"regexp_replace({column}, {said[0]}, {said[1]}, 'g')"
     return column
 
 
+#: Words that a keyword query leaves out, as the survey lists them.
+_SQL_STOP = "'a','an','and','are','as','at','be','by','can','do','does','for','from','has','have','how','i','in','is','it','its','of','on','or','the','this','to','was','what','when','where','which','who','why','will','with','there','their','they','them','into','via','any','all','our','we','you','your'"
+
+
 @query("tokenize", r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda t: length(t) > 1), ' ') AS tokens FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("query_terms", r"""SELECT id, term FROM (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(regexp_replace(question, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda t: length(t) > 1)) AS term FROM questions)
-    WHERE term NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")")
+    WHERE term NOT IN (""" + _SQL_STOP + ")")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "questions").select("id", F.explode(T.query_terms(F.col("question"))).alias("term")).distinct()
 
@@ -53,17 +71,24 @@ def shingles5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.size(T.shingles(T.unicode_words(F.col("text")), 5)).alias("shingles"))
 
 
-@query("scrub", "SELECT doc_id, text FROM (SELECT doc_id, text AS was, " + nested("text", T.SECRETS) + " AS text FROM documents) WHERE text <> was")
+@query("scrub", "SELECT doc_id, text FROM (SELECT doc_id, text AS was, " + _rewritten("text", _SQL_SCRUB) + " AS text FROM documents) WHERE text <> was")
 def scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in which a secret was replaced."""
     return _docs(spark, sf_dir).select("doc_id", T.scrub(F.col("text")).alias("t"), "text").filter("t <> text").select("doc_id", F.col("t").alias("text"))
 
 
-@query("clean_text", "SELECT doc_id, " + nested(nested("text", T.REWRITES + T.SECRETS + T.TIDY), [(r"^\s+|\s+$", "")]) + " AS text FROM documents")
+@query("clean_text", "SELECT doc_id, " + _rewritten("text", _SQL_CLEAN) + " AS text FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
+@query("capped_code", "SELECT doc_id, md5(t) AS text FROM (SELECT doc_id, text, " + _rewritten("text", [(r"\r\n", "\n"), *_SQL_CODE]) + " AS t FROM documents) WHERE t <> text")
+def capped_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the cap of their code blocks changes."""
+    capped = T.capped_code(F.regexp_replace("text", "\r\n", "\n"))
+    return _docs(spark, sf_dir).select("doc_id", "text", capped.alias("t")).filter("t <> text").select("doc_id", F.md5("t").alias("text"))
+
+
 @query("latin_share", r"SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / CAST(greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1) AS DOUBLE), 6) AS share FROM documents")
 def latin_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(T.latin_share(F.col("text")), 6).alias("share"))
@@ -140,11 +165,11 @@ def cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("synth_budget", f"""SELECT doc_id, n FROM (SELECT doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (ORDER BY {_HASH_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
         FROM documents WHERE source = 'translations' AND text IS NOT NULL)
-    WHERE used < 0.01 * (SELECT sum(length(text)) FROM documents WHERE source <> 'translations')""")
+    WHERE used < 0.25 * (SELECT sum(length(text)) FROM documents WHERE source <> 'translations')""")
 def synth_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one source, taken as synthetic, until they reach a hundredth of the others' characters."""
+    """Documents of one source, taken as synthetic, until they reach a quarter of the others' characters."""
     docs = _docs(spark, sf_dir).select("doc_id", "source", F.length("text").alias("n"))
-    others = docs.filter("source <> 'translations'").agg((F.sum("n") * 0.01).alias("budget"))
+    others = docs.filter("source <> 'translations'").agg((F.sum("n") * 0.25).alias("budget"))
     rows = docs.filter("source = 'translations' and n is not null").crossJoin(F.broadcast(others))
     return curate.running_budget(rows, ["source"], _hash_order(), "n", F.col("budget")).select("doc_id", "n")
 

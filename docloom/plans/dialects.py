@@ -57,3 +57,9 @@ def both(name: str, text: str, duck: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"two queries are named {name}")
     QUERIES[name], SQL[name] = run, said_in(duck or text, 1)
+
+
+def said(columns: str, rows: list[tuple]) -> str:
+    """Rows worked out by hand, as SQL."""
+    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"

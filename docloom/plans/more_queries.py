@@ -39,8 +39,6 @@ both("token_mask", "SELECT id, CAST(sum(CASE WHEN substr(md5(concat(id, '|', CAS
 both("head_tail_split", "SELECT doc_id, CASE WHEN r * 100 <= n * 90 THEN 'head' ELSE 'tail' END AS part FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)")
 both("request_text", r"SELECT DISTINCT id FROM questions WHERE NOT STARTS(question, '<') AND NOT MATCHES(lower(question), RX'interrupted|caveat') AND CHARS(question) > 20")
 both("json_block", r"SELECT doc_id, regexp_extract(text, RX'```(?:json|yaml|sh|python|text)?\n([^`]*)\n```', 1) AS block FROM documents WHERE MATCHES(text, RX'```(?:json|yaml|sh|python|text)?\n[^`]*\n```')")
-both("capped_code", r"SELECT doc_id, CAST(max(LEN(SPLIT(block, '\n'))) AS BIGINT) AS longest FROM (SELECT doc_id, EACH(regexp_extract_all(text, RX'```[^`]*```', 0)) AS block FROM documents) GROUP BY doc_id",
-     r"SELECT doc_id, CAST(max(LEN(string_split(block, chr(10)))) AS BIGINT) AS longest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '```[^`]*```', 0)) AS block FROM documents) GROUP BY doc_id")
 both("session_errors", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type <> 'error') AS fine FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') > 0")
 both("weekly_pivot", "SELECT DAY(ts, YMD) AS day, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY 1")
 both("repeat_rows", "SELECT 'sections' AS name, count(*) - count(DISTINCT id) AS extra FROM sections UNION ALL SELECT 'docs', count(*) - count(DISTINCT id) FROM docs UNION ALL SELECT 'links', count(*) - count(DISTINCT link_id) FROM links UNION ALL SELECT 'questions', count(*) - count(DISTINCT id) FROM questions")

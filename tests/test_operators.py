@@ -112,7 +112,7 @@ def test_similar_sets(spark):
 def test_links(spark):
     nodes = spark.createDataFrame([("n1", "charge_invoice()", "pay/src/a.py", "function", "pay"), ("n2", "charge_invoice()", "web/src/b.py", "function", "web"), ("n3", "a.py", "pay/src/a.py", "file", "pay")], "id string, label string, source_file string, kind string, component string")
     s = spark.createDataFrame([("s", "pay", "Call `charge_invoice` or src/a.py."), ("t", "other", "Call `charge_invoice`."), ("u", "pay", None)], "id string, component string, text string")
-    got = {(r.section_id, r.mention, r.node_id, r.confidence) for r in links.resolve(links.section_mentions(s), links.name_index(nodes)).collect()}
+    got = {(r.section_id, r.mention, r.node_id, r.confidence) for r in links.link_sections(s, nodes)[0].collect()}
     assert got == {("s", "charge_invoice", "n1", "EXTRACTED"), ("s", "src/a.py", "n3", "EXTRACTED"), ("t", "charge_invoice", "n1", "AMBIGUOUS"), ("t", "charge_invoice", "n2", "AMBIGUOUS")}
 
 
