@@ -15,37 +15,8 @@ from pyspark.sql.window import Window
 
 from docloom.session import stored
 
-K1, B, RRF_K, DEPTH, POOL = 1.2, 0.75, 60, 50, 30
-
-
-def postings(records: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """(term, key, weighted tf, length): columns gives an array of tokens for each weighted column as {name: tokens};
-    the weight is in the name after a colon, as in "heading:2"."""
-    each = records.select(F.col(key).alias("key"), *[tokens.alias(f"t{i}") for i, tokens in enumerate(columns.values())])
-    weights = [float(name.partition(":")[2] or 1) for name in columns]
-    length = sum((F.size(f"t{i}") for i in range(len(weights))), F.lit(0))
-
-    def weighted(i: int, w: float) -> Column:
-        return F.transform(f"t{i}", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-
-    terms = each.select("key", length.alias("length"), F.explode(F.concat(*[weighted(i, w) for i, w in enumerate(weights)])).alias("x"))
-    return terms.groupBy(F.col("x.term").alias("term"), "key").agg(F.sum("x.w").alias("tf"), F.first("length").alias("length"))
 
-
-def bm25(index: DataFrame, n_records: DataFrame, queries: DataFrame, k: int = DEPTH) -> DataFrame:
-    """(query, rank, key, score), the best k of each query. index: as postings() gives it. n_records: one row (n, total)
-    of the number of records and of tokens. queries: (query, terms). idf is floored at 1e-6, so no term counts against."""
-    terms = queries.select("query", F.explode("terms").alias("term")).distinct()
-    index = stored(index.join(terms.select("term").distinct(), "term", "left_semi"))  # used twice; only the asked terms
-    hits = index.join(terms, "term")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    # One row of totals: a size known beforehand.
-    hits = hits.join(df, "term").crossJoin(F.broadcast(n_records))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    norm = K1 * (1 - B + B * F.col("length") / (F.col("total") / F.col("n")))
-    scored = hits.groupBy("query", "key").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
-    return top(scored, k)
+K1, B, RRF_K, DEPTH, POOL = 1.2, 0.75, 60, 50, 30
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -57,7 +28,8 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048) -> DataFrame:
     """(query, rank, key, score) by cosine. vectors: (key, v), queries: (query, v). The stated queries are gathered in
     blocks of about `block` rows, by hash, each block goes once over all vectors as a matrix product, and each batch keeps
-    its own k best before anything is shuffled. Null vectors and vectors of norm 0 have no partner."""
+    its own k best before anything is shuffled. Of several blocks each is ranked and written before the next is sent, so
+    one is held at a time. Null vectors and vectors of norm 0 have no partner."""
     asked = queries.filter("v is not null").select("query", "v")
     n_blocks = asked.count() // block + 1
     blocks = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)))
@@ -66,13 +38,17 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: in
     out = []
     for row in gathered.toLocalIterator():
         held = vectors.sparkSession.sparkContext.broadcast((list(row["ids"]), _unit(np.array(row["vs"], np.float64))))
-        out.append(vectors.filter("v is not null").select("key", "v").mapInArrow(_scored(held, k), f"query {kind[0]}, key {kind[1]}, score double"))
+        near = top(vectors.filter("v is not null").select("key", "v").mapInArrow(_scored(held, k), f"query {kind[0]}, key {kind[1]}, score double"), k)
+        if n_blocks > 1:
+            near = stored(near)
+            held.destroy()
+        out.append(near)
     if not out:
         return vectors.select(F.lit(None).cast(kind[0]).alias("query"), F.lit(0).cast("bigint").alias("rank"), "key", F.lit(0.0).alias("score")).limit(0)
     whole = out[0]
     for other in out[1:]:
         whole = whole.union(other)
-    return top(whole, k)
+    return whole
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -129,3 +105,31 @@ def cross_domain_merge(hits: DataFrame, k: int) -> DataFrame:
     floored = hits.withColumn("floor", F.min("cosine").over(within))
     best = Window.partitionBy("query").orderBy(F.desc(F.round("floor", 9)), "rank", "domain", "key")
     return floored.select("query", F.row_number().over(best).cast("bigint").alias("rank"), "domain", "key", "floor").filter(F.col("rank") <= k)
+
+
+def by_mode(lists: DataFrame, pool: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(query, mode, rank, key). lists: (query, list, key, rank), 0 by keywords and 1 by vectors; pool: (query, key,
+    position, score). hybrid (fast): the fusion of both; rerank: the pool by score, then the rest of the fusion; all: the
+    fusion of both and the scored pool; accurate: hybrid where both have the same first result, else rerank."""
+    ranked = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)).cast("bigint"))
+    lists = lists.select("query", "list", "key", "rank")
+    fused = rrf(lists.withColumn("weight", F.lit(1.0))).select("query", "key", "rank")
+    scored = ranked(pool, F.desc(F.round("score", 9)), "position").select("query", "key", F.col("rank").alias("scored"))
+    rerank = ranked(fused.withColumnRenamed("rank", "fused").join(scored, ["query", "key"], "left"), F.col("scored").isNull(), "scored", "fused").select("query", "key", "rank")
+    three = lists.union(scored.select("query", F.lit(2), "key", "scored"))
+    whole = rrf(three.withColumn("weight", F.lit(1.0))).select("query", "key", "rank")
+    first = lists.filter("rank = 1").groupBy("query").agg(F.max(F.when(F.col("list") == 0, F.col("key"))).alias("a"), F.max(F.when(F.col("list") == 1, F.col("key"))).alias("b"))
+    agree = first.select("query", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("agree"))
+    chosen = fused.join(agree.filter("agree"), "query", "left_semi").union(rerank.join(agree.filter("not agree"), "query", "left_semi"))
+    of = lambda df, mode: df.select("query", F.lit(mode).alias("mode"), "rank", "key")
+    out = of(lists.filter("list = 0"), "bm25").union(of(lists.filter("list = 1"), "dense"))
+    for df, mode in ((fused, "hybrid"), (fused, "fast"), (rerank, "rerank"), (whole, "all"), (chosen, "accurate")):
+        out = out.union(of(df, mode))
+    return out
+
+
+def parity(scores: DataFrame, by: list[str], most: float = 1e-4) -> DataFrame:
+    """(*by, n, broken, max_diff) of scores (*by, reference, score): how far the scores are from a saved reference, and
+    1 where one is off by more than `most`. Pairs with a null are left out."""
+    off = F.abs(F.col("reference") - F.col("score"))
+    return scores.filter(off.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.max(F.when(off <= most, 0).otherwise(1)).alias("broken"), F.max(off).alias("max_diff"))

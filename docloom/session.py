@@ -80,3 +80,11 @@ def discard(df: DataFrame) -> None:
         if os.path.basename(name).startswith("stored-"):
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def once(spark: SparkSession, name: tuple, make):
+    """What make() gives, made once a session for each name: stored tables that several queries read."""
+    held = spark.sparkContext.__dict__.setdefault("_docloom_once", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]

@@ -1,7 +1,6 @@
 """Operators against plain Python."""
 
 import itertools
-import sqlite3
 
 import numpy as np
 import pytest
@@ -32,22 +31,6 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
-def test_bm25_as_sqlite(spark):
-    rng = np.random.default_rng(2)
-    vocabulary = [f"w{i}" for i in range(30)]
-    rows = [(i, " ".join(rng.choice(vocabulary, 3)), " ".join(rng.choice(vocabulary, int(rng.integers(5, 30))))) for i in range(60)]
-    db = sqlite3.connect(":memory:")
-    db.execute("create virtual table t using fts5(h, b)")
-    db.executemany("insert into t(rowid, h, b) values (?, ?, ?)", rows)
-    df = spark.createDataFrame(rows, "id bigint, h string, b string")
-    columns = {"h:2": tokens(df.h), "b:1": tokens(df.b)}
-    totals = df.select((F.size(columns["h:2"]) + F.size(columns["b:1"])).alias("t")).agg(F.count("*").alias("n"), F.sum("t").alias("total"))
-    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w3 what w9")], "query bigint, q string").select("query", query_terms(F.col("q")).alias("terms"))
-    got = {(r.query, r.key): r.score for r in search.bm25(search.postings(df, "id", columns), totals, queries, 100).collect()}
-    want = {(q, k): -s for q, text in ((1, "w1 OR w2"), (2, "w3 OR w9")) for k, s in db.execute("select rowid, bm25(t, 2.0, 1.0) from t where t match ?", (text,))}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
-
-
 def test_dense_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(90, 5))
