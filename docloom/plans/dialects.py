@@ -61,5 +61,5 @@ def both(name: str, text: str, duck: str | None = None) -> None:
 
 def said(columns: str, rows: list[tuple]) -> str:
     """Rows worked out by hand, as SQL."""
-    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
