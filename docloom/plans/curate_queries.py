@@ -211,18 +211,6 @@ def gate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("source").agg(F.count("*").alias("units"), F.sum("hits").alias("hits"))
 
 
-@query("gate_report", _GATE + """ SELECT (SELECT count(DISTINCT id) FROM sections) AS units, (SELECT count(*) FROM b) AS boilerplate, (SELECT count(DISTINCT gram) FROM r) AS reference,
-    (SELECT count(*) FROM hit WHERE hits >= 3) AS dropped""")
-def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts only, never texts."""
-    grams, reference = _grams(spark, sf_dir), _reference(spark, sf_dir).select("gram").distinct()
-    counts = [table(spark, sf_dir, "sections").agg(F.countDistinct("id").alias("units")), curate.boilerplate(grams).agg(F.count("*").alias("boilerplate")), reference.agg(F.count("*").alias("reference")), curate.leakage_gate(grams, reference).agg(F.count("*").alias("dropped"))]
-    out = counts[0]
-    for one in counts[1:]:
-        out = out.crossJoin(F.broadcast(one))  # rows of totals
-    return out
-
-
 @query("boilerplate_grams", _GATE + " SELECT md5(gram) AS gram FROM b")
 def boilerplate_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.boilerplate(_grams(spark, sf_dir, False)).select(F.md5("gram").alias("gram"))

@@ -254,7 +254,6 @@ both("section_jobs", """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesc
     SELECT 'normal' AS kind, id, mark FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = s.id) UNION ALL SELECT 'ident', id, mark FROM (SELECT id, mark FROM s ORDER BY md5(concat('1|', mark)), id LIMIT 10000)""",
      """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS mark, id FROM sections), g AS (SELECT DISTINCT g AS id FROM (SELECT unnest(list_transform(gold, lambda x: x.section)) AS g FROM questions) WHERE g IS NOT NULL)
     SELECT 'normal' AS kind, id, mark FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = s.id) UNION ALL SELECT 'ident', id, mark FROM (SELECT id, mark FROM s ORDER BY md5(concat('1|', mark)), id LIMIT 10000)""")
-both("frontmatter", r"SELECT DISTINCT id, regexp_extract(text, RX'^#+ ([^\n\r]+)', 1) AS title FROM sections WHERE MATCHES(text, RX'^#+ [^\n\r]+')")
 both("index_render", r"""SELECT component, array_join(sort_array(collect_set(coalesce(title, '')), false), '; ') AS titles FROM docs GROUP BY component""", r"""SELECT component, array_to_string(list_sort(list(DISTINCT coalesce(title, '')), 'DESC'), '; ') AS titles FROM docs GROUP BY component""")
 both("symbol_source", r"""SELECT DISTINCT id, substr(text, 1, 40) AS head, CAST(LEN(SPLIT(text, '```')) AS BIGINT) AS parts FROM sections""")
 both("graph_update", """WITH gone AS (SELECT DISTINCT source_file FROM nodes WHERE removed_at IS NOT NULL), kept AS (SELECT DISTINCT id, source_file FROM nodes WHERE removed_at IS NULL)

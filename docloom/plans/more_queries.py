@@ -44,13 +44,6 @@ both("weekly_pivot", "SELECT DAY(ts, YMD) AS day, count(*) FILTER (WHERE event_t
 both("repeat_rows", "SELECT 'sections' AS name, count(*) - count(DISTINCT id) AS extra FROM sections UNION ALL SELECT 'docs', count(*) - count(DISTINCT id) FROM docs UNION ALL SELECT 'links', count(*) - count(DISTINCT link_id) FROM links UNION ALL SELECT 'questions', count(*) - count(DISTINCT id) FROM questions")
 
 
-@query("private_terms", r"""SELECT doc_id, term FROM documents, (VALUES ('manifest'), ('heartbeat'), ('quorum')) AS t(term) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')""")
-def private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a guarded term as a whole word. The terms are a list of settings, so they become one filter."""
-    hits = [F.when(F.lower("text").rlike(f"(^|[^a-z0-9]){t}([^a-z0-9]|$)"), F.lit(t)) for t in ("manifest", "heartbeat", "quorum")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("term"))
-
-
 @query("shingle_overlap", r"""WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS q, regexp_extract_all(lower(answer), '[\p{L}\p{N}_]+') AS a FROM questions WHERE answer IS NOT NULL)
     SELECT id, CAST(len(list_intersect(list_transform(generate_series(1, greatest(len(q) - 1, 0)), lambda i: q[i] || ' ' || q[i + 1]), list_transform(generate_series(1, greatest(len(a) - 1, 0)), lambda i: a[i] || ' ' || a[i + 1]))) AS INTEGER) AS shared FROM w""")
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
