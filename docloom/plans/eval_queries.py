@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import shingle_hashes, unicode_words
-from docloom.operators import evaluate, similar
+from docloom.functions.text import query_terms, shingle_hashes, unicode_words
+from docloom.operators import evaluate, index, mining, similar
 from docloom.plans.dialects import both
 from docloom.plans.registry import query
-from docloom.plans.search_queries import _UNIT_SQL, BM25_SQL, asked, bm25, dense
+from docloom.plans.search_queries import _MODES_SQL, _UNIT_SQL, BM25_SQL, asked, bm25, by_mode, dense, section_index, sections_once
 from docloom.session import stored, table
 
+#: Paths of change lists.
+CHANGELOG = r"(^|/)(changelog|changes|history|news|releases?)([./_-]|$)"
+
 _GOLD = """gold AS (SELECT DISTINCT id, path, lo, hi, section FROM (SELECT id, g.path AS path, g.lines[0] AS lo, g.lines[1] AS hi, g.section AS section FROM (SELECT id, explode(gold) AS g FROM questions)))"""
 _GOLD_D = """gold AS (SELECT DISTINCT id, g.path AS path, g.lines[1] AS lo, g.lines[2] AS hi, g.section AS section FROM (SELECT id, unnest(gold) AS g FROM questions))"""
 _SPAN = """SELECT DISTINCT gold.id AS question_id, s.id AS section_id FROM gold JOIN sections s ON s.path = gold.path
@@ -36,28 +37,27 @@ both("src_reference_texts", """SELECT DISTINCT id, field, md5(said) AS said FROM
 both("prf_by_label", """WITH t AS (SELECT DISTINCT vec_id, label, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS pred FROM embeddings),
     c AS (SELECT label AS l, 0 AS p, 1 AS g, CASE WHEN pred = label THEN 1 ELSE 0 END AS tp FROM t UNION ALL SELECT pred, 1, 0, 0 FROM t)
     SELECT l AS label, round(sum(tp) / CAST(greatest(sum(p), 1) AS DOUBLE), 6) AS precision, round(sum(tp) / CAST(greatest(sum(g), 1) AS DOUBLE), 6) AS recall FROM c GROUP BY l""")
-both("silent_failures", """WITH c AS (SELECT l_suppkey AS batch, l_quantity AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), t AS (SELECT batch, sum(n) AS total, max(n) AS most FROM c GROUP BY batch) SELECT batch, CAST(total AS BIGINT) AS total, most FROM t WHERE 100 * most > total""")
+both("silent_failures", """WITH c AS (SELECT l_suppkey AS batch, l_quantity AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), t AS (SELECT batch, sum(n) AS total, max(n) AS most FROM c GROUP BY batch) SELECT batch, CAST(total AS BIGINT) AS total, most FROM t WHERE 3 * most > total""")
 both("arm_metrics", """SELECT l_shipmode_arm AS arm, count(*) AS runs, round(avg(cost), 6) AS mean_cost, round(max(cost), 6) AS max_cost, CAST(sum(CASE WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS done FROM (
     SELECT l_returnflag AS l_shipmode_arm, l_extendedprice AS cost, l_linestatus = 'F' AS done FROM lineitem) GROUP BY l_shipmode_arm""")
 both("question_spread", "SELECT l_partkey AS question, round(avg(l_quantity), 6) AS mean, round(max(l_quantity) - min(l_quantity), 6) AS spread FROM lineitem GROUP BY l_partkey")
 both("paired_arms", """WITH r AS (SELECT l_orderkey AS qid, l_linenumber AS rep, l_returnflag AS arm, l_quantity AS score FROM lineitem), m AS (SELECT qid, arm, avg(score) AS s FROM r GROUP BY qid, arm)
     SELECT b.arm, count(*) AS pairs, round(avg(b.s - a.s), 6) AS diff, CAST(sum(CASE WHEN b.s > a.s THEN 1 ELSE 0 END) AS BIGINT) AS better, CAST(sum(CASE WHEN b.s < a.s THEN 1 ELSE 0 END) AS BIGINT) AS worse FROM m a JOIN m b ON a.qid = b.qid AND a.arm = 'N' AND b.arm <> 'N' GROUP BY b.arm""")
 both("judge_agreement", "SELECT l_returnflag AS kind, count(*) AS n, round(avg(CAST(CASE WHEN (l_quantity > 25) = (l_discount > 0.05) THEN 1 ELSE 0 END AS DOUBLE)), 6) AS agree FROM lineitem GROUP BY l_returnflag")
-both("latency_profile", """SELECT l_linenumber AS stage, count(*) AS n, round(percentile(l_extendedprice, 0.5), 6) AS median, round(percentile(l_extendedprice, 0.9), 6) AS p90, round(sum(l_extendedprice) / max(t), 6) AS share FROM (SELECT *, sum(l_extendedprice) OVER () AS t FROM lineitem) GROUP BY l_linenumber""",
-     """SELECT l_linenumber AS stage, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(sum(l_extendedprice) / max(t), 6) AS share FROM (SELECT *, sum(l_extendedprice) OVER () AS t FROM lineitem) GROUP BY l_linenumber""")
+both("latency_profile", """SELECT l_linenumber AS stage, count(*) AS n, round(percentile(l_extendedprice, 0.5), 6) AS median, round(percentile(l_extendedprice, 0.9), 6) AS p90, round(sum(l_extendedprice) / max(t), 6) AS share FROM lineitem, (SELECT sum(l_extendedprice) AS t FROM lineitem) GROUP BY l_linenumber""",
+     """SELECT l_linenumber AS stage, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(sum(l_extendedprice) / max(t), 6) AS share FROM lineitem, (SELECT sum(l_extendedprice) AS t FROM lineitem) GROUP BY l_linenumber""")
 both("spec_problems", """SELECT source, problem FROM (SELECT source, CASE WHEN target_share IS NULL OR target_share <= 0 THEN 'no share' WHEN max_repeats > 3 THEN 'repeats too high' WHEN source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) THEN 'no documents' END AS problem FROM mix_targets) WHERE problem IS NOT NULL""")
 both("allowlist_reject", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM mix_targets t WHERE t.source = d.source)")
-both("source_for_path", "SELECT n.source_file, max_by(c.component, length(c.component)) AS owner FROM (SELECT DISTINCT source_file FROM nodes WHERE source_file IS NOT NULL) n JOIN (SELECT DISTINCT component FROM docs WHERE component IS NOT NULL) c ON STARTS(n.source_file, concat(c.component, '/')) GROUP BY n.source_file")
+both("source_for_path", """WITH c AS (SELECT DISTINCT component FROM docs WHERE component IS NOT NULL), p AS (SELECT source_file, EACH(transform(sequence(1, size(p) - 1), i -> array_join(slice(p, 1, i), '/'))) AS component FROM (SELECT DISTINCT source_file, split(source_file, '/') AS p FROM nodes WHERE source_file LIKE '%/%'))
+    SELECT source_file, max_by(component, length(component)) AS owner FROM p JOIN c USING (component) GROUP BY source_file""",
+     "SELECT n.source_file, max_by(c.component, length(c.component)) AS owner FROM (SELECT DISTINCT source_file FROM nodes WHERE source_file IS NOT NULL) n JOIN (SELECT DISTINCT component FROM docs WHERE component IS NOT NULL) c ON STARTS(n.source_file, concat(c.component, '/')) GROUP BY n.source_file")
 both("prov_manifest", """SELECT t.source, t.target_share, coalesce(d.documents, 0) AS documents, coalesce(d.n_chars, 0) AS n_chars, md5(concat(t.source, '|', CAST(coalesce(d.documents, 0) AS STRING))) AS mark FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS documents, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source) d ON d.source = t.source""",
      """SELECT t.source, t.target_share, coalesce(d.documents, 0) AS documents, coalesce(d.n_chars, 0) AS n_chars, md5(concat(t.source, '|', CAST(coalesce(d.documents, 0) AS VARCHAR))) AS mark FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS documents, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source) d ON d.source = t.source""")
 both("verify_manifest", """SELECT doc_id, problem FROM (SELECT doc_id, EACH(ARRAY(CASE WHEN n_chars IS NULL THEN 'no count' WHEN n_chars <> CHARS(text) THEN 'wrong count' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN source IS NULL THEN 'no source' END)) AS problem FROM documents) WHERE problem IS NOT NULL""",
      """SELECT doc_id, problem FROM (SELECT doc_id, unnest([CASE WHEN n_chars IS NULL THEN 'no count' WHEN n_chars <> CHARS(text) THEN 'wrong count' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN source IS NULL THEN 'no source' END]) AS problem FROM documents) WHERE problem IS NOT NULL""")
 both("check_sources", "SELECT a.path, a.sha256 AS pinned, b.sha256 AS found FROM (SELECT path, min(sha256) AS sha256 FROM docs GROUP BY path) a JOIN (SELECT path, max(sha256) AS sha256 FROM docs GROUP BY path) b ON a.path = b.path WHERE a.sha256 <> b.sha256")
-both("verify_hashes", "SELECT d.doc_id, sha2(d.text, 256) = sha2(e.text, 256) AS same FROM documents d JOIN documents e ON d.doc_id = e.doc_id + 1", "SELECT d.doc_id, sha256(d.text) = sha256(e.text) AS same FROM documents d JOIN documents e ON d.doc_id = e.doc_id + 1")
 both("guard_path", r"SELECT DISTINCT path FROM docs WHERE MATCHES(lower(path), RX'\.bak\.|(^|/)archive/|-copy\.')")
 both("guard_text", r"SELECT doc_id FROM documents WHERE MATCHES(lower(text), RX'(^|[^a-z0-9])(manifest|heartbeat)([^a-z0-9]|$)') AND MATCHES(lower(text), RX'(^|[^a-z0-9])quorum([^a-z0-9]|$)')")
-both("tree_constraints", r"""SELECT DISTINCT path, problem FROM (SELECT path, EACH(ARRAY(CASE WHEN title IS NULL THEN 'no title' END, CASE WHEN words > 3000 THEN 'too long' END, CASE WHEN LEN(SPLIT(path, '/')) > 5 THEN 'too deep' END)) AS problem FROM docs) WHERE problem IS NOT NULL""",
-     r"""SELECT DISTINCT path, problem FROM (SELECT path, unnest([CASE WHEN title IS NULL THEN 'no title' END, CASE WHEN words > 3000 THEN 'too long' END, CASE WHEN LEN(SPLIT(path, '/')) > 5 THEN 'too deep' END]) AS problem FROM docs) WHERE problem IS NOT NULL""")
 both("settings_resolve", """SELECT d.name, coalesce(e.value, f.value, d.value) AS value, CASE WHEN e.value IS NOT NULL THEN 'environment' WHEN f.value IS NOT NULL THEN 'file' ELSE 'default' END AS origin
     FROM (VALUES ('mode', 'accurate'), ('k', '5'), ('budget', '2000')) AS d(name, value) LEFT JOIN (VALUES ('k', '8'), ('mode', 'fast')) AS f(name, value) ON f.name = d.name LEFT JOIN (VALUES ('mode', 'all')) AS e(name, value) ON e.name = d.name""")
 both("decisions_for_hit", """WITH h AS (SELECT DISTINCT id, path, line_start, line_end FROM sections), d AS (SELECT path, line_start + 2 AS a, line_start + 6 AS b, id AS decision, added_at AS made FROM (SELECT DISTINCT id, path, line_start, added_at, ordinal FROM sections) WHERE ordinal % 3 = 0)
@@ -102,20 +102,23 @@ def public_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("mode_table", _RANKED + """, m AS (SELECT 'all' AS mode, query, first FROM first UNION ALL SELECT 'even', query, first FROM first WHERE query % 40 = 0)
-    SELECT mode, count(*) AS queries, round(avg(CASE WHEN first <= 10 THEN 1 / log2(first + 1) ELSE 0 END), 6) AS ndcg10 FROM m GROUP BY mode""")
+@query("mode_table", _MODES_SQL + ", " + _GOLD_D + r""", gs AS (SELECT DISTINCT id AS query, section FROM gold WHERE section IS NOT NULL AND id IN (SELECT id FROM asked)),
+    fm AS (SELECT m.mode, m.query, min(CASE WHEN gs.section IS NOT NULL THEN m.rank END) AS first FROM modes m LEFT JOIN gs ON gs.query = m.query AND gs.section = m.key WHERE m.query IN (SELECT query FROM gs) GROUP BY ALL)
+    SELECT mode, count(*) AS queries, round(avg(CASE WHEN first <= 10 THEN 1 / log2(first + 1) ELSE 0 END), 6) AS ndcg10, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS recall1,
+    round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 6) AS recall10, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END), 6) AS mrr10 FROM fm GROUP BY mode""")
 def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = evaluate.first_hits(_ranked(spark, sf_dir))
-    modes = first.withColumn("mode", F.lit("all")).union(first.filter("query % 40 = 0").withColumn("mode", F.lit("even")))
-    gain = F.when(F.col("first") <= 10, 1 / F.log2(F.col("first") + 1)).otherwise(0.0)
-    return modes.groupBy("mode").agg(F.count("*").alias("queries"), F.round(F.avg(gain), 6).alias("ndcg10"))
+    """Every mode over the asked questions that have a gold section."""
+    gold = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), F.explode("gold.section").alias("key")).filter("key is not null").distinct()
+    ranked = by_mode(spark, sf_dir).join(gold.select("query").distinct(), "query", "left_semi").join(gold.withColumn("gold", F.lit(True)), ["query", "key"], "left")
+    first = ranked.groupBy("mode", "query").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("first"))
+    return evaluate.by_mode(first)
 
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired bootstrap of the gain of the first result over the second half of the ranking."""
     g = _ranked(spark, sf_dir).groupBy("query").agg((F.max(F.when(F.col("rank") <= 5, F.col("relevant").cast("double"))) - F.max(F.when(F.col("rank") > 5, F.col("relevant").cast("double")))).alias("diff"))
-    return evaluate.bootstrap(g.select("diff"), 2000)
+    return evaluate.bootstrap(g, "query")
 
 
 @query("sign_test")
@@ -142,57 +145,95 @@ def context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_recall(spark, sf_dir).agg(F.count("*").alias("queries"), F.sum((F.col("at5") > 0).cast("int")).alias("in5"), F.sum((F.col("at10") > 0).cast("int")).alias("in10"))
 
 
-@query("hard_negatives", BM25_SQL + ", " + _GOLD_D + """, g AS (SELECT DISTINCT id AS query, path FROM gold), p AS (SELECT DISTINCT id, path FROM sections)
-    SELECT query, position, section_id FROM (SELECT bm25.query, bm25.key AS section_id, row_number() OVER (PARTITION BY bm25.query ORDER BY bm25.rank) AS position FROM bm25 JOIN p ON p.id = bm25.key
-        WHERE bm25.rank <= 15 AND NOT EXISTS (SELECT 1 FROM g WHERE g.query = bm25.query AND g.path = p.path)) WHERE position <= 7""")
-def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 15 sections by keywords, then the filter on gold documents, then seven; filtering comes after the limit."""
-    return _negatives(spark, sf_dir, "key")
+_MINED_SQL = BM25_SQL + ", " + _GOLD_D + r""", pos AS (SELECT DISTINCT g.id AS query, s.id AS positive FROM gold g JOIN s ON s.id = g.section JOIN asked a ON a.id = g.id),
+    sh AS (SELECT id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS runs FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM s)),
+    bad AS (SELECT DISTINCT b.query, b.key FROM bm25 b JOIN pos USING (query) JOIN sh x ON x.id = b.key JOIN sh y ON y.id = positive
+        WHERE key = positive OR len(list_intersect(x.runs, y.runs)) > 0.5 * greatest(len(x.runs) + len(y.runs) - len(list_intersect(x.runs, y.runs)), 1)),
+    good AS (SELECT b.query, b.rank, b.key FROM bm25 b WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.query = b.query AND bad.key = b.key)),
+    comp AS (SELECT id, min(component) AS component FROM sections GROUP BY id), qcomp AS (SELECT id, min(component) AS component FROM questions GROUP BY id)"""
 
 
-def _negatives(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    paths = table(spark, sf_dir, "sections").select(F.col("id").alias("key"), "path").distinct()
-    gold = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), F.explode("gold.path").alias("path")).distinct()
-    left = bm25(spark, sf_dir, 15).join(paths, "key").join(gold, ["query", "path"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
-    return left.select("query", place.cast("bigint").alias("position"), F.col(key).alias("section_id")).filter("position <= 7")
+def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(positives, texts, components of the sections, components of the questions) for the asked questions."""
+    sections = sections_once(spark, sf_dir)
+    asked_ = asked(spark, sf_dir).select("query")
+    gold = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), F.explode("gold.section").alias("key")).distinct().join(asked_, "query", "left_semi")
+    positives = stored(gold.join(sections.select(F.col("id").alias("key")), "key").select("query", "key"))
+    scope = lambda t, name: table(spark, sf_dir, t).groupBy(F.col("id").alias(name)).agg(F.min("component").alias("scope"))
+    return positives, sections.select(F.col("id").alias("key"), "text"), scope("sections", "key"), scope("questions", "query").join(asked_, "query", "left_semi")
 
 
-def _padded(found: DataFrame, asked_: DataFrame, banned: DataFrame, choices: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """found (query, position, section_id) with choices in the order of a hash behind, up to seven a question. choices:
-    from the questions that fall short to (query, n, section_id), banned ones among them or not."""
-    short = stored(asked_.join(found.groupBy("query").agg(F.count("*").alias("n")), "query", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 7"))
-    rest = choices(short).distinct().join(banned.union(found.select("query", "section_id")).distinct(), ["query", "section_id"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.md5(F.concat_ws("|", F.col("query"), F.col("section_id"))), "section_id"))
-    more = rest.withColumn("place", place).filter("place <= 7").withColumn("position", (F.col("n") + F.col("place")).cast("bigint"))
-    return stored(found.union(more.filter("position <= 7").select("query", "position", "section_id")))
+@query("hard_negatives", _MINED_SQL + """, m AS (SELECT good.*, coalesce(c.component = q.component, false) AS same FROM good LEFT JOIN comp c ON c.id = key LEFT JOIN qcomp q ON q.id = query WHERE rank <= 15),
+    k AS (SELECT *, bool_or(same) OVER (PARTITION BY query) AS any_same FROM m), o AS (SELECT query, key, any_same, row_number() OVER (PARTITION BY query ORDER BY rank) AS position FROM k WHERE same OR NOT any_same)
+    SELECT query, position, key AS section_id, CASE WHEN any_same THEN 'own' ELSE 'all' END AS scope FROM o WHERE position <= 10""")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of each question: the first 15 sections by keywords, without gold ones and near-copies of them, of its
+    component alone if any is. A hash picks one of them, in the operator's column picked."""
+    positives, texts, scopes, own = _mined(spark, sf_dir)
+    out = mining.hard_negatives(bm25(spark, sf_dir, 15), positives, texts, scopes, own)
+    return out.select("query", F.col("position").cast("bigint").alias("position"), F.col("key").alias("section_id"), "scope")
 
 
 @query("neg_groups")
 def neg_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each asked question with its seven negatives in order: those of the ranking, then sections of the
-    question's component in the order of a hash, then any others. Only where all sections that aren't of a gold document
-    are fewer, a group is shorter."""
-    sections = stored(table(spark, sf_dir, "sections").select(F.col("id").alias("section_id"), "path", "component").distinct())
-    questions = table(spark, sf_dir, "questions")
+    """One row for each asked question with its seven negatives in order: the first of the 30 by keywords that aren't of a
+    gold document or near-copies of one, then sections of the question's component in the order of a hash, then any others. Only where all
+    sections but those are fewer, a group is shorter."""
+    sections, questions = table(spark, sf_dir, "sections"), table(spark, sf_dir, "questions")
     asked_ = asked(spark, sf_dir).select("query").distinct()
     gold = questions.select(F.col("id").alias("query"), F.explode("gold.path").alias("path")).distinct().join(asked_, "query", "left_semi")
-    banned = stored(gold.join(sections, "path").select("query", "section_id").distinct())
-    owners = questions.select(F.col("id").alias("query"), "component").distinct()
-    found = stored(_negatives(spark, sf_dir, "key"))
-    found = _padded(found, asked_, banned, lambda short: short.join(owners, "query").join(sections, "component").select("query", "n", "section_id"))
-    found = _padded(found, asked_, banned, lambda short: short.crossJoin(sections.select("section_id")))
-    g = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "section_id"))).alias("n"))
-    return asked_.join(g, "query", "left").select("query", F.coalesce(F.transform("n", lambda x: x["section_id"]), F.array().cast("array<string>")).alias("negatives"))
-
-
-both("kind_candidates", """WITH s AS (SELECT DISTINCT id, doc_id, component, ordinal FROM sections), q AS (SELECT id, doc_id, component, ordinal FROM s WHERE ordinal = 1),
-    c AS (SELECT q.id AS query, s.id AS cand, 'sibling' AS kind, abs(s.ordinal - q.ordinal) AS o FROM q JOIN s ON s.doc_id = q.doc_id WHERE s.id <> q.id UNION ALL SELECT q.id, s.id, 'doc', abs(s.ordinal - q.ordinal) FROM q JOIN s ON s.component = q.component AND s.doc_id <> q.doc_id AND s.ordinal = 0)
-    SELECT query, kind, cand FROM (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY o, md5(cand), cand) AS r FROM c) WHERE r <= CASE kind WHEN 'sibling' THEN 2 ELSE 7 END""")
-both("assemble_groups", """WITH s AS (SELECT DISTINCT id, doc_id, component, ordinal FROM sections), q AS (SELECT id, doc_id, component, ordinal FROM s WHERE ordinal = 1),
-    c AS (SELECT q.id AS query, s.id AS cand, 0 AS k, abs(s.ordinal - q.ordinal) AS o FROM q JOIN s ON s.doc_id = q.doc_id WHERE s.id <> q.id UNION ALL SELECT q.id, s.id, 1, abs(s.ordinal - q.ordinal) FROM q JOIN s ON s.component = q.component AND s.doc_id <> q.doc_id AND s.ordinal = 0),
-    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, k ORDER BY o, md5(cand), cand) AS r FROM c) WHERE r <= CASE k WHEN 0 THEN 2 ELSE 7 END),
-    p AS (SELECT query, cand, row_number() OVER (PARTITION BY query ORDER BY k, r) AS position, count(*) OVER (PARTITION BY query) AS n FROM k) SELECT query, CAST(position AS BIGINT) AS position, cand FROM p WHERE position <= 7 AND n >= 7""")
+    positives = stored(gold.join(sections.select(F.col("id").alias("key"), "path"), "path").select("query", "key").distinct())
+    texts = sections_once(spark, sf_dir).select(F.col("id").alias("key"), "text")
+    scopes, own = (t.groupBy(F.col("id").alias(name)).agg(F.min("component").alias("scope")) for t, name in ((sections, "key"), (questions, "query")))
+    own = own.join(asked_, "query", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank")).cast("bigint")
+    found = stored(mining.unlike_positives(bm25(spark, sf_dir, 30), positives, texts).select("query", place.alias("position"), "key").filter(F.col("position") <= mining.GROUP))
+    found = mining.padded(found, own.filter("scope is not null"), positives, scopes.filter("scope is not null"), ["scope"])
+    found = mining.padded(found, asked_, positives, scopes.select("key"), [])
+    g = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "key"))).alias("n"))
+    return asked_.join(g, "query", "left").select("query", F.coalesce(F.transform("n", lambda x: x["key"]), F.array().cast("array<string>")).alias("negatives"))
+
+
+_KIND_SQL = _MINED_SQL + r""", att AS (SELECT id, min(doc_id) AS doc, min(component) AS component, min(path) AS path, len(regexp_extract_all(min(coalesce(text, '')), '[^ \t\r\n]+')) >= 25 AS long FROM sections GROUP BY id),
+    qa AS (SELECT p.query, min(p.positive) AS positive FROM pos p GROUP BY p.query), qx AS (SELECT qa.*, a.doc, a.component, q.prose FROM qa JOIN att a ON a.id = positive JOIN (SELECT id, min(source) = 'handbook-qa' AS prose FROM questions GROUP BY id) q ON q.id = qa.query),
+    kh AS (SELECT h.query, h.key, h.score, CASE WHEN a.doc = q.doc THEN 'sibling' WHEN a.component = q.component AND q.prose THEN 'book' WHEN a.component = q.component AND regexp_matches(lower(a.path), '(^|/)(changelog|changes|history|news|releases?)([./_-]|$)') THEN 'changelog'
+        WHEN a.component = q.component THEN 'doc' END AS kind FROM hits h JOIN qx q USING (query) JOIN att a ON a.id = h.key WHERE a.long AND h.key <> q.positive),
+    kc AS (SELECT query, kind, key, row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 9) DESC, key) AS place FROM kh WHERE kind IS NOT NULL QUALIFY place <= 12)"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = table(spark, sf_dir, "sections")
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\r\n]+"), lambda w: w != ""))
+    keys = sections.groupBy(F.col("id").alias("key")).agg(F.min("doc_id").alias("doc"), F.min("component").alias("scope"), F.min("path").alias("path"), F.min("text").alias("text"))
+    keys = keys.select("key", "doc", "scope", F.lower("path").rlike(CHANGELOG).alias("changelog"), (n >= 25).alias("long"))
+    positives = _mined(spark, sf_dir)[0].groupBy("query").agg(F.min("key").alias("positive"))
+    prose = table(spark, sf_dir, "questions").groupBy(F.col("id").alias("query")).agg((F.min("source") == "handbook-qa").alias("prose"))
+    queries = positives.join(prose, "query").join(keys.select(F.col("key").alias("positive"), "doc", "scope"), "positive")
+    terms = index.asked_terms(asked(spark, sf_dir).select("query", query_terms(F.col("question")).alias("terms")), "terms")
+    return mining.candidates_by_kind(section_index(spark, sf_dir), terms, queries, keys)
+
+
+@query("kind_candidates", _KIND_SQL + " SELECT query, kind, place, key FROM kc")
+def kind_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the asked questions that have a gold section, by kind: siblings of its document, the component's change
+    lists, other documents, or for handbook questions the rest of the book."""
+    return _kinds(spark, sf_dir).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("assemble_groups", _KIND_SQL + """, o AS (SELECT *, CASE kind WHEN 'sibling' THEN 0 WHEN 'changelog' THEN 1 WHEN 'book' THEN 2 ELSE 3 END AS k FROM kc WHERE place <= CASE kind WHEN 'sibling' THEN 2 WHEN 'changelog' THEN 2 ELSE 7 END),
+    a AS (SELECT query, key, kind, row_number() OVER (PARTITION BY query ORDER BY k, place, key) AS position FROM o QUALIFY position <= 7),
+    f AS (SELECT g.query, g.key, row_number() OVER (PARTITION BY g.query ORDER BY g.rank) + coalesce(n, 0) AS position FROM good g JOIN qx USING (query) LEFT JOIN (SELECT query, count(*) AS n FROM a GROUP BY query) c ON c.query = g.query
+        WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query = g.query AND a.key = g.key)),
+    u AS (SELECT query, position, key, kind FROM a UNION ALL SELECT query, position, key, 'fill' FROM f WHERE position <= 7)
+    SELECT * FROM u WHERE query IN (SELECT query FROM u GROUP BY query HAVING count(*) = 7)""")
+def assemble_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven negatives of each question with a gold section: by kind up to their caps, then from the keyword ranking."""
+    positives, texts, _, _ = _mined(spark, sf_dir)
+    ranked = mining.unlike_positives(bm25(spark, sf_dir), positives, texts).join(positives.select("query").distinct(), "query", "left_semi")
+    out = mining.assemble(_kinds(spark, sf_dir), ranked.select("query", F.col("rank").alias("place"), "key"))
+    return out.withColumn("position", F.col("position").cast("bigint"))
+
+
 both("scorer_compare", """WITH p AS (SELECT l_orderkey AS query, l_linenumber AS cand, l_extendedprice AS a, l_quantity AS b FROM lineitem), r AS (SELECT query, cand, row_number() OVER (PARTITION BY query ORDER BY a DESC, cand) AS ra, row_number() OVER (PARTITION BY query ORDER BY b DESC, cand) AS rb FROM p)
     SELECT count(*) AS queries, CAST(sum(CASE WHEN x = y THEN 1 ELSE 0 END) AS BIGINT) AS same_first FROM (SELECT query, max(CASE WHEN ra = 1 THEN cand END) AS x, max(CASE WHEN rb = 1 THEN cand END) AS y FROM r GROUP BY query)""")
 both("kendall_tau", """SELECT a.l_orderkey AS query, round(avg(CAST(sign(a.l_extendedprice - b.l_extendedprice) * sign(a.l_quantity - b.l_quantity) AS DOUBLE)), 6) AS tau FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey""")

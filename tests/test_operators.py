@@ -100,11 +100,13 @@ def test_links(spark):
 
 
 def test_statistics(spark):
-    diffs = spark.createDataFrame([(x,) for x in [1.0] * 8 + [-1.0, 0.0, None]], "diff double")
+    diffs = spark.createDataFrame([(i, x) for i, x in enumerate([1.0] * 8 + [-1.0, 0.0, None])], "id int, diff double")
     r = evaluate.sign_test(diffs).first()
     assert (r.better, r.worse) == (8, 1) and r.p == pytest.approx(2 * (1 + 9) / 2**9)
-    b = evaluate.bootstrap(diffs, 500).first()
+    b = evaluate.bootstrap(diffs.repartition(2), "id", 500).first()
     assert b.n == 10 and b.mean == pytest.approx(0.7) and b.low < 0.7 < b.high
+    assert evaluate.bootstrap(diffs.repartition(7), "id", 500).first() == b
+    assert evaluate.bootstrap(diffs.limit(0), "id", 50).first().low is None
     assert evaluate.sign_test(diffs.limit(0)).first().p == 1.0
 
 
