@@ -34,18 +34,6 @@ both("job_matrix", """SELECT id, arm, rep, md5(concat(id, '|', arm, '|', CAST(re
 both("quota_sample", "SELECT id, source, population FROM (SELECT id, source, count(*) OVER (PARTITION BY source) AS population, row_number() OVER (PARTITION BY source ORDER BY md5(concat('5|', id))) AS r FROM (SELECT DISTINCT id, source FROM questions)) WHERE r <= 20")
 both("strata_hits", "SELECT source, style, count(*) AS n, round(avg(CAST(CASE WHEN multi THEN 1 ELSE 0 END AS DOUBLE)), 6) AS multi FROM (SELECT DISTINCT id, source, style, multi FROM questions) GROUP BY GROUPING SETS ((source), (source, style), ())")
 both("src_reference_texts", """SELECT DISTINCT id, field, md5(said) AS said FROM (SELECT id, 'question' AS field, question AS said FROM questions UNION ALL SELECT id, 'answer', answer FROM questions UNION ALL SELECT id, 'evidence', EACH(evidence) FROM questions) WHERE said IS NOT NULL AND trim(said, ' ') <> ''""".replace("trim(said, ' ')", "regexp_replace(said, RX' ', ''/*g*/)"))
-both("prf_by_label", """WITH t AS (SELECT DISTINCT vec_id, label, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS pred FROM embeddings),
-    c AS (SELECT label AS l, 0 AS p, 1 AS g, CASE WHEN pred = label THEN 1 ELSE 0 END AS tp FROM t UNION ALL SELECT pred, 1, 0, 0 FROM t)
-    SELECT l AS label, round(sum(tp) / CAST(greatest(sum(p), 1) AS DOUBLE), 6) AS precision, round(sum(tp) / CAST(greatest(sum(g), 1) AS DOUBLE), 6) AS recall FROM c GROUP BY l""")
-both("silent_failures", """WITH c AS (SELECT l_suppkey AS batch, l_quantity AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), t AS (SELECT batch, sum(n) AS total, max(n) AS most FROM c GROUP BY batch) SELECT batch, CAST(total AS BIGINT) AS total, most FROM t WHERE 3 * most > total""")
-both("arm_metrics", """SELECT l_shipmode_arm AS arm, count(*) AS runs, round(avg(cost), 6) AS mean_cost, round(max(cost), 6) AS max_cost, CAST(sum(CASE WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS done FROM (
-    SELECT l_returnflag AS l_shipmode_arm, l_extendedprice AS cost, l_linestatus = 'F' AS done FROM lineitem) GROUP BY l_shipmode_arm""")
-both("question_spread", "SELECT l_partkey AS question, round(avg(l_quantity), 6) AS mean, round(max(l_quantity) - min(l_quantity), 6) AS spread FROM lineitem GROUP BY l_partkey")
-both("paired_arms", """WITH r AS (SELECT l_orderkey AS qid, l_linenumber AS rep, l_returnflag AS arm, l_quantity AS score FROM lineitem), m AS (SELECT qid, arm, avg(score) AS s FROM r GROUP BY qid, arm)
-    SELECT b.arm, count(*) AS pairs, round(avg(b.s - a.s), 6) AS diff, CAST(sum(CASE WHEN b.s > a.s THEN 1 ELSE 0 END) AS BIGINT) AS better, CAST(sum(CASE WHEN b.s < a.s THEN 1 ELSE 0 END) AS BIGINT) AS worse FROM m a JOIN m b ON a.qid = b.qid AND a.arm = 'N' AND b.arm <> 'N' GROUP BY b.arm""")
-both("judge_agreement", "SELECT l_returnflag AS kind, count(*) AS n, round(avg(CAST(CASE WHEN (l_quantity > 25) = (l_discount > 0.05) THEN 1 ELSE 0 END AS DOUBLE)), 6) AS agree FROM lineitem GROUP BY l_returnflag")
-both("latency_profile", """SELECT l_linenumber AS stage, count(*) AS n, round(percentile(l_extendedprice, 0.5), 6) AS median, round(percentile(l_extendedprice, 0.9), 6) AS p90, round(sum(l_extendedprice) / max(t), 6) AS share FROM lineitem, (SELECT sum(l_extendedprice) AS t FROM lineitem) GROUP BY l_linenumber""",
-     """SELECT l_linenumber AS stage, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(sum(l_extendedprice) / max(t), 6) AS share FROM lineitem, (SELECT sum(l_extendedprice) AS t FROM lineitem) GROUP BY l_linenumber""")
 both("spec_problems", """SELECT source, problem FROM (SELECT source, CASE WHEN target_share IS NULL OR target_share <= 0 THEN 'no share' WHEN max_repeats > 3 THEN 'repeats too high' WHEN source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) THEN 'no documents' END AS problem FROM mix_targets) WHERE problem IS NOT NULL""")
 both("allowlist_reject", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM mix_targets t WHERE t.source = d.source)")
 both("source_for_path", """WITH c AS (SELECT DISTINCT component FROM docs WHERE component IS NOT NULL), p AS (SELECT source_file, EACH(transform(sequence(1, size(p) - 1), i -> array_join(slice(p, 1, i), '/'))) AS component FROM (SELECT DISTINCT source_file, split(source_file, '/') AS p FROM nodes WHERE source_file LIKE '%/%'))
@@ -121,12 +109,6 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap(g, "query")
 
 
-@query("sign_test")
-def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _ranked(spark, sf_dir).groupBy("query").agg(F.max(F.when(F.col("rank") <= 2, F.col("relevant").cast("double"))).alias("a"), F.max(F.when(F.col("rank") > 8, F.col("relevant").cast("double"))).alias("b"))
-    return evaluate.sign_test(g.select((F.col("a") - F.col("b")).alias("diff")))
-
-
 _BM25_GOLD = BM25_SQL + ", " + _GOLD_D + """, g AS (SELECT DISTINCT id AS query, path FROM gold), p AS (SELECT DISTINCT id, path FROM sections),
     hit AS (SELECT bm25.query, count(DISTINCT CASE WHEN bm25.rank <= 5 THEN g.path END) AS at5, count(DISTINCT CASE WHEN bm25.rank <= 10 THEN g.path END) AS at10 FROM bm25 JOIN p ON p.id = bm25.key LEFT JOIN g ON g.query = bm25.query AND g.path = p.path GROUP BY bm25.query)"""
 
@@ -234,9 +216,10 @@ def assemble_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
-both("scorer_compare", """WITH p AS (SELECT l_orderkey AS query, l_linenumber AS cand, l_extendedprice AS a, l_quantity AS b FROM lineitem), r AS (SELECT query, cand, row_number() OVER (PARTITION BY query ORDER BY a DESC, cand) AS ra, row_number() OVER (PARTITION BY query ORDER BY b DESC, cand) AS rb FROM p)
-    SELECT count(*) AS queries, CAST(sum(CASE WHEN x = y THEN 1 ELSE 0 END) AS BIGINT) AS same_first FROM (SELECT query, max(CASE WHEN ra = 1 THEN cand END) AS x, max(CASE WHEN rb = 1 THEN cand END) AS y FROM r GROUP BY query)""")
-both("kendall_tau", """SELECT a.l_orderkey AS query, round(avg(CAST(sign(a.l_extendedprice - b.l_extendedprice) * sign(a.l_quantity - b.l_quantity) AS DOUBLE)), 6) AS tau FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey""")
+both("kendall_tau", """WITH v AS (SELECT DISTINCT vec_id, label, CAST(element_at(embedding, 1) AS DOUBLE) AS a, CAST(element_at(embedding, 2) AS DOUBLE) AS b FROM embeddings WHERE vec_id % 20 = 0)
+    SELECT x.label, round(avg(CAST(sign(x.a - y.a) * sign(x.b - y.b) AS DOUBLE)), 6) AS tau FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id GROUP BY x.label""",
+     """WITH v AS (SELECT DISTINCT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings WHERE vec_id % 20 = 0)
+    SELECT x.label, round(avg(CAST(sign(x.a - y.a) * sign(x.b - y.b) AS DOUBLE)), 6) AS tau FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id GROUP BY x.label""")
 _FIVE = r"""WITH g AS (SELECT id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s
         FROM (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM (SELECT DISTINCT id, text FROM sections WHERE text IS NOT NULL))),
     c AS (SELECT s, min(id) AS rep FROM g GROUP BY s), e AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM c)"""
