@@ -70,9 +70,22 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     ship(spark)
     to = os.path.join(shared_dir(spark), f"stored-{uuid.uuid4().hex}")
     (df.coalesce(partitions) if partitions else df).write.parquet(to)
+    spark.sparkContext.__dict__.setdefault("_docloom_stored", []).append(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that stored() wrote in this session, and what was made once a session; results that weren't
+    written or collected before can't be read any more. Returns how many folders went."""
+    held = spark.sparkContext.__dict__
+    held.pop("_docloom_once", None)
+    gone = 0
+    for to in held.pop("_docloom_stored", []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by stored()."""
     spark = df.sparkSession

@@ -39,21 +39,34 @@ def durations(events: DataFrame, start: str, end: str, within: str = "1 day") ->
     return s.join(e, F.expr(f"u = user_id and ended >= began and ended < began + interval {within}"), "left_outer")
 
 
-def running_tools(events: DataFrame, start: str, end: str) -> DataFrame:
-    """(user_id, open, done): starts and ends of each user so far, in keyed state."""
+def running_tools(events: DataFrame, start: str, end: str, late: str = "1 day", idle: str = "7 days") -> DataFrame:
+    """(user_id, open, done, ended): starts and ends of each user so far, in keyed state. A user without an event for `idle`
+    of event time, counted from the watermark, comes out once more with ended true and is forgotten."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_, done = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            for kind in pdf.sort_values(["at", "event_id"])["event_type"]:
-                if kind == start:
-                    open_ += 1
-                elif kind == end and open_:
-                    open_, done = open_ - 1, done + 1
-        state.update((open_, done))
-        yield pd.DataFrame({"user_id": [key[0]], "open": [open_], "done": [done]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, open bigint, done bigint", "open bigint, done bigint", "update", GroupStateTimeout.NoTimeout)
+        open_, done, newest = state.get if state.exists else (0, 0, 0)
+        row = lambda ended: pd.DataFrame({"user_id": [key[0]], "open": [open_], "done": [done], "ended": [ended]})
+        if state.hasTimedOut:
+            state.remove()
+            yield row(True)
+            return
+        # The events of one trigger in order of time, however many batches they come in.
+        pdf = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        for kind in pdf["event_type"]:
+            if kind == start:
+                open_ += 1
+            elif kind == end and open_:
+                open_, done = open_ - 1, done + 1
+        newest = max(newest, int(pdf["at"].max().timestamp() * 1000))
+        state.update((open_, done, newest))
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield row(False)
+
+    marked = events.withWatermark("at", late).select("user_id", "at", "event_id", "event_type")
+    return marked.groupBy("user_id").applyInPandasWithState(
+        step, "user_id bigint, open bigint, done bigint, ended boolean", "open bigint, done bigint, newest bigint", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str, to: str) -> DataFrame:
