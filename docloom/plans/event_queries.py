@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import graph, sessions
-from docloom.operators.components import connected_components
 from docloom.plans.dialects import both, said
 from docloom.plans.registry import query
 from docloom.session import table
@@ -27,8 +26,6 @@ both("sessions", """SELECT user_id, CAST(count(DISTINCT s) AS BIGINT) AS session
     CASE WHEN MICROS(ts) - MICROS(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id""")
 both("canonical_hash", "SELECT event_id, md5(concat(CAST(user_id AS STRING), '|', event_type, '|', props)) AS h FROM events", "SELECT event_id, md5(concat(CAST(user_id AS VARCHAR), '|', event_type, '|', props)) AS h FROM events")
 both("source_weights", "SELECT source, round(sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER (), 6) AS p FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
-both("hop_pairs", """WITH t AS (SELECT doc_id, id, ordinal FROM (SELECT DISTINCT doc_id, id, ordinal FROM sections)) SELECT a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.ordinal BETWEEN a.ordinal + 1 AND a.ordinal + 2""")
-both("prune_empty", """WITH d AS (SELECT DISTINCT regexp_extract(source_file, RX'^([^/]+/[^/]+)/', 1) AS dir, id, removed_at FROM nodes) SELECT dir FROM d WHERE dir <> '' GROUP BY dir HAVING count(*) FILTER (WHERE removed_at IS NULL) = 0""")
 both("context_cut", """SELECT id, CAST(CASE WHEN used >= 8000 THEN 0 WHEN used + n > 8000 THEN 8000 - used ELSE n END AS BIGINT) AS kept FROM (SELECT id, n, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY ordinal, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
     FROM (SELECT DISTINCT id, doc_id, ordinal, CHARS(text) AS n FROM sections WHERE text IS NOT NULL))""")
 both("order_hierarchy", """SELECT r.r_name, n.n_name, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS orders, CAST(sum(CAST(round(o.o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey
@@ -146,13 +143,6 @@ def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(e, e.agg(F.min("a").alias("vertex")), 6)
 
 
-@query("graph_parts", "WITH RECURSIVE " + _EDGES.replace("src AS", "unused AS") + """, near AS (SELECT a AS v, least(a, min(b)) AS m FROM u GROUP BY a), walk AS (SELECT a AS v, a AS m FROM u UNION SELECT u.b, walk.m FROM walk JOIN u ON u.a = walk.v WHERE u.b > walk.m)
-    SELECT count(*) AS vertices FROM near""")
-def graph_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices of the link graph that lie in some connected part."""
-    return connected_components(_edges(spark, sf_dir)).agg(F.count("*").alias("vertices"))
-
-
 @query("graph_expand", "WITH " + _EDGES + """, hit AS (SELECT a AS v, CAST(row_number() OVER (ORDER BY a) AS BIGINT) AS rank FROM (SELECT DISTINCT a FROM e ORDER BY a LIMIT 8)), n AS (SELECT hit.v, hit.rank, e.b AS w, row_number() OVER (PARTITION BY hit.v ORDER BY e.b) AS r FROM hit JOIN e ON e.a = hit.v),
     s AS (SELECT v AS vertex, 1.0::DOUBLE / rank AS score FROM hit UNION ALL SELECT w, 0.5::DOUBLE / rank FROM n WHERE r <= 6) SELECT vertex, round(max(score), 6) AS score FROM s GROUP BY vertex""")
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,8 +256,6 @@ both("section_jobs", """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesc
     SELECT 'normal' AS kind, id, mark FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = s.id) UNION ALL SELECT 'ident', id, mark FROM (SELECT id, mark FROM s ORDER BY md5(concat('1|', mark)), id LIMIT 10000)""")
 both("index_render", r"""SELECT component, array_join(sort_array(collect_set(coalesce(title, '')), false), '; ') AS titles FROM docs GROUP BY component""", r"""SELECT component, array_to_string(list_sort(list(DISTINCT coalesce(title, '')), 'DESC'), '; ') AS titles FROM docs GROUP BY component""")
 both("symbol_source", r"""SELECT DISTINCT id, substr(text, 1, 40) AS head, CAST(LEN(SPLIT(text, '```')) AS BIGINT) AS parts FROM sections""")
-both("graph_update", """WITH gone AS (SELECT DISTINCT source_file FROM nodes WHERE removed_at IS NOT NULL), kept AS (SELECT DISTINCT id, source_file FROM nodes WHERE removed_at IS NULL)
-    SELECT k.id, k.source_file FROM kept k WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source_file = k.source_file) UNION SELECT id, source_file FROM nodes WHERE added_at >= TIMESTAMP '2025-01-01 00:00:00' AND removed_at IS NULL""")
 both("one_hop", f"WITH {_LINK}, e AS (SELECT section_id AS a, node_id AS b FROM l WHERE section_id IS NOT NULL AND node_id IS NOT NULL) SELECT v, count(DISTINCT w) AS neighbours FROM (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e) GROUP BY v")
 both("folder_facts", r"""SELECT regexp_extract(source_file, RX'^(.*)/[^/]*$', 1) AS folder, count(DISTINCT source_file) AS files, count(DISTINCT id) AS symbols, concat('contains ', CAST(count(DISTINCT id) AS STRING), ' symbols') AS fact FROM nodes GROUP BY 1""",
      r"""SELECT regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS folder, count(DISTINCT source_file) AS files, count(DISTINCT id) AS symbols, concat('contains ', CAST(count(DISTINCT id) AS VARCHAR), ' symbols') AS fact FROM nodes GROUP BY 1""")
