@@ -100,3 +100,58 @@ def prose(sentence: Column) -> Column:
     """8 to 64 words, more than half of the characters letters."""
     n = F.size(F.filter(F.split(sentence, "[ \t\r\n]+"), lambda w: w != ""))
     return n.between(8, 64) & (F.length(F.regexp_replace(sentence, "[^A-Za-z]", "")) * 2 > F.length(sentence))
+
+
+def running_before(rows: DataFrame, group: str, key: str, value: Column, width: int = 10_000) -> DataFrame:
+    """rows with `before`: the sum of value over the rows of the group with a smaller number in key (distinct within a group).
+    In two steps, over slices of `width` numbers and within a slice, so a large group isn't one task. A null group is one."""
+    sliced = rows.withColumn("_value", F.coalesce(value, F.lit(0))).withColumn("_slice", F.floor(F.col(key) / width)).withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("\0")))
+    sums = sliced.groupBy("_group", "_slice").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_group", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_group", "_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(sums, ["_group", "_slice"])
+    return placed.withColumn("before", F.col("_base") + F.col("_within")).drop("_value", "_slice", "_group", "_base", "_within")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number` from 1 in a total order over all of them: a range partitioning, written once, and the places within
+    each range behind the counts of those before."""
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(before, "_range").withColumn("number", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def code_share(text: Column) -> Column:
+    """The share of a text's characters on lines between fences, the fences' own among them; 0 for an empty text."""
+    step = lambda held, line: F.when(line.startswith("```"), F.struct((~held["inside"]).alias("inside"), (held["code"] + F.length(line)).alias("code"))).otherwise(
+        F.struct(held["inside"].alias("inside"), (held["code"] + F.when(held["inside"], F.length(line)).otherwise(0)).alias("code"))
+    )
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
+    total = F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(line))
+    code = F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.lit(0).alias("code")), step, lambda held: held["code"])
+    return F.when(total > 0, code / total).otherwise(0.0)
+
+
+def masked(tokens: Column, key: Column, share: float, mask: str = "[MASK]", seed: int = 0) -> Column:
+    """The tokens with about `share` of them replaced, each by a hash of the seed, the key and its place."""
+    limit = int(share * 1_000_000)
+    return F.transform(tokens, lambda t, i: F.when(F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key, i)), 1, 8), 16, 10).cast("bigint"), F.lit(1_000_000)) < limit, mask).otherwise(t))
+
+
+def resolved_settings(defaults: DataFrame, file: DataFrame, environment: DataFrame) -> DataFrame:
+    """(name, value, origin, problem) of settings: the environment before the file before the default, as text. defaults:
+    (name, value, kind, choices), kind one of int, float, bool, str; a value that isn't of its kind, or none of the choices,
+    gives way to the default and is told as a problem. Bools come out as true or false."""
+    given = defaults.join(file.select("name", F.col("value").alias("f")), "name", "left").join(environment.select("name", F.col("value").alias("e")), "name", "left")
+    raw = F.trim(F.coalesce("e", "f"))
+    truth = F.when(F.lower(raw).isin("1", "true", "on", "yes"), "true").when(F.lower(raw).isin("0", "false", "off", "no"), "false")
+    typed = F.when(F.col("kind") == "int", F.expr("cast(try_cast(_raw as bigint) as string)")).when(F.col("kind") == "float", F.expr("cast(try_cast(_raw as double) as string)")).when(F.col("kind") == "bool", F.col("_truth")).otherwise(F.col("_raw"))
+    rows = given.withColumn("_raw", raw).withColumn("_truth", truth).withColumn("typed", typed)
+    fits = F.col("choices").isNull() | F.array_contains("choices", F.col("typed"))
+    problem = F.when(F.col("_raw").isNull(), None).when(F.col("typed").isNull(), F.concat(F.lit("no "), "kind")).when(~fits, "not a choice")
+    ok = F.col("_raw").isNotNull() & problem.isNull()
+    origin = F.when(ok & F.col("e").isNotNull(), "environment").when(ok, "file").otherwise("default")
+    return rows.select("name", F.when(ok, F.col("typed")).otherwise(F.col("value")).alias("value"), origin.alias("origin"), problem.alias("problem"))

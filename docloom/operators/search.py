@@ -133,3 +133,20 @@ def parity(scores: DataFrame, by: list[str], most: float = 1e-4) -> DataFrame:
     1 where one is off by more than `most`. Pairs with a null are left out."""
     off = F.abs(F.col("reference") - F.col("score"))
     return scores.filter(off.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.max(F.when(off <= most, 0).otherwise(1)).alias("broken"), F.max(off).alias("max_diff"))
+
+
+def softmax(rows: DataFrame, group: str, z: str, temperature: float = 1.0) -> DataFrame:
+    """rows with `p`, the softmax of z over the group, shifted by its largest. The largest and the sum are aggregates joined
+    back, so a large group isn't one task; a null group is a group."""
+    top_ = rows.groupBy(F.col(group).alias("_g")).agg(F.max(z).alias("_top"))
+    shifted = rows.join(top_, F.col("_g").eqNullSafe(F.col(group))).withColumn("_w", F.exp((F.col(z) - F.col("_top")) / temperature)).drop("_g", "_top")
+    sums = shifted.groupBy(F.col(group).alias("_g")).agg(F.sum("_w").alias("_sum"))
+    return shifted.join(sums, F.col("_g").eqNullSafe(F.col(group))).withColumn("p", F.col("_w") / F.col("_sum")).drop("_g", "_w", "_sum")
+
+
+def mean_pool(tokens: Column, keep: Column, dimensions: int) -> Column:
+    """The unit vector of the mean of the kept token vectors; zeros if none is kept or their mean is zero."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("v"), keep.alias("k")), lambda x: x["k"]), lambda x: x["v"])
+    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), dimensions), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(total, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))

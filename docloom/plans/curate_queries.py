@@ -244,7 +244,6 @@ def eligible_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 both("count_units", "SELECT source, count(*) AS documents, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source")
 both("mix_share", """SELECT source, n_chars, round(n_chars / CAST(sum(n_chars) OVER () AS DOUBLE), 6) AS share FROM (
     SELECT source, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source) ORDER BY n_chars DESC, source LIMIT 15""")
-both("fil_words", "SELECT doc_id, n_words FROM (SELECT doc_id, CAST(LEN(regexp_extract_all(text, RX'[^ \\t\\r\\n]+', 0)) AS BIGINT) AS n_words FROM documents) WHERE n_words BETWEEN 60 AND 400")
 both("fil_binary", "SELECT doc_id FROM documents WHERE CHARS(text) - CHARS(replace(text, chr(65533), '')) > 0.01 * CHARS(text)",
      "SELECT doc_id FROM documents WHERE CHARS(text) - CHARS(replace(text, chr(65533), '')) > 0.01 * CHARS(text)")
 both("content_hash", "SELECT doc_id, sha2(text, 256) AS sha FROM documents", "SELECT doc_id, sha256(text) AS sha FROM documents")
@@ -259,9 +258,6 @@ both("light_stem", r"""SELECT word, CASE WHEN length(word) > 4 THEN regexp_repla
     SELECT DISTINCT word FROM (SELECT EACH(regexp_extract_all(lower(text), RX'[a-z]+', 0)) AS word FROM documents))""")
 both("preview", "SELECT doc_id, CASE WHEN CHARS(text) > 80 THEN concat(left(text, 80), ' … +', CAST(CHARS(text) - 80 AS STRING)) ELSE text END AS preview FROM documents",
      "SELECT doc_id, CASE WHEN CHARS(text) > 80 THEN concat(left(text, 80), ' … +', CAST(CHARS(text) - 80 AS VARCHAR)) ELSE text END AS preview FROM documents")
-both("fixed_chunks", """SELECT source, chunk, count(*) AS documents FROM (SELECT source, CAST(floor(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 10000) AS BIGINT) AS chunk
-    FROM (SELECT source, doc_id, CHARS(text) AS n FROM documents WHERE text IS NOT NULL)) GROUP BY source, chunk""")
-both("batch_ids", "SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 64) AS BIGINT) AS batch FROM documents")
 both("docstrings", r"""SELECT doc_id, md5(lower(p)) AS opening FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY lower(p) ORDER BY doc_id) AS r FROM (
     SELECT doc_id, regexp_extract(text, RX'^[^\n]+', 0) AS p FROM documents) WHERE LEN(regexp_extract_all(p, RX'[^ \t\r\n]+', 0)) >= 8) WHERE r = 1""")
 both("code_share", r"""SELECT id, round(sum(CASE WHEN fenced THEN n ELSE 0 END) / CAST(greatest(sum(n), 1) AS DOUBLE), 6) AS share FROM (

@@ -24,11 +24,8 @@ _SPAN = """SELECT DISTINCT gold.id AS question_id, s.id AS section_id FROM gold
 both("span_overlap", f"WITH {_GOLD} {_SPAN}", f"WITH {_GOLD_D} {_SPAN}")
 both("docs_of_gold", f"WITH {_GOLD} SELECT id, count(DISTINCT path) AS paths, count(DISTINCT section) AS sections FROM gold GROUP BY id", f"WITH {_GOLD_D} SELECT id, count(DISTINCT path) AS paths, count(DISTINCT section) AS sections FROM gold GROUP BY id")
 both("verified_items", r"SELECT DISTINCT id FROM questions WHERE style = 'behavior' AND NOT MATCHES(question, RX'`|[a-z]_[a-z]|--[a-z]|[A-Z]{3,}')")
-both("dev_suite", "SELECT id, concat('dev-', lpad(CAST(row_number() OVER (ORDER BY id) AS STRING), 5, '0')) AS item FROM (SELECT DISTINCT id FROM questions WHERE lower(trim(split)) = 'dev')",
-     "SELECT id, concat('dev-', lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 5, '0')) AS item FROM (SELECT DISTINCT id FROM questions WHERE lower(trim(split)) = 'dev')")
 both("split_leak", "SELECT a.component FROM (SELECT DISTINCT component FROM questions WHERE lower(trim(split)) = 'train') a WHERE a.component IN (SELECT component FROM questions WHERE lower(trim(split)) = 'test')")
 both("prompt_gate", r"SELECT DISTINCT id, NOT STARTS(question, '/') AND LEN(regexp_extract_all(question, RX'[^ ]+', 0)) >= 3 AS worth FROM questions")
-both("round_robin", "SELECT id, source, CAST(row_number() OVER (ORDER BY r, source, id) AS BIGINT) AS pick FROM (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('3|', id)), id) AS r FROM (SELECT DISTINCT id, source FROM questions)) WHERE r <= 50")
 both("job_matrix", """SELECT id, arm, rep, md5(concat(id, '|', arm, '|', CAST(rep AS STRING))) AS place FROM (SELECT DISTINCT id FROM questions WHERE lower(trim(split)) = 'test') q, (VALUES ('with'), ('without')) AS a(arm), (VALUES (1), (2), (3)) AS r(rep)""",
      """SELECT id, arm, rep, md5(concat(id, '|', arm, '|', CAST(rep AS VARCHAR))) AS place FROM (SELECT DISTINCT id FROM questions WHERE lower(trim(split)) = 'test') q, (VALUES ('with'), ('without')) AS a(arm), (VALUES (1), (2), (3)) AS r(rep)""")
 both("quota_sample", "SELECT id, source, population FROM (SELECT id, source, count(*) OVER (PARTITION BY source) AS population, row_number() OVER (PARTITION BY source ORDER BY md5(concat('5|', id))) AS r FROM (SELECT DISTINCT id, source FROM questions)) WHERE r <= 20")
@@ -46,8 +43,6 @@ both("verify_manifest", """SELECT doc_id, problem FROM (SELECT doc_id, EACH(ARRA
 both("check_sources", "SELECT a.path, a.sha256 AS pinned, b.sha256 AS found FROM (SELECT path, min(sha256) AS sha256 FROM docs GROUP BY path) a JOIN (SELECT path, max(sha256) AS sha256 FROM docs GROUP BY path) b ON a.path = b.path WHERE a.sha256 <> b.sha256")
 both("guard_path", r"SELECT DISTINCT path FROM docs WHERE MATCHES(lower(path), RX'\.bak\.|(^|/)archive/|-copy\.')")
 both("guard_text", r"SELECT doc_id FROM documents WHERE MATCHES(lower(text), RX'(^|[^a-z0-9])(manifest|heartbeat)([^a-z0-9]|$)') AND MATCHES(lower(text), RX'(^|[^a-z0-9])quorum([^a-z0-9]|$)')")
-both("settings_resolve", """SELECT d.name, coalesce(e.value, f.value, d.value) AS value, CASE WHEN e.value IS NOT NULL THEN 'environment' WHEN f.value IS NOT NULL THEN 'file' ELSE 'default' END AS origin
-    FROM (VALUES ('mode', 'accurate'), ('k', '5'), ('budget', '2000')) AS d(name, value) LEFT JOIN (VALUES ('k', '8'), ('mode', 'fast')) AS f(name, value) ON f.name = d.name LEFT JOIN (VALUES ('mode', 'all')) AS e(name, value) ON e.name = d.name""")
 both("decisions_for_hit", """WITH h AS (SELECT DISTINCT id, path, line_start, line_end FROM sections), d AS (SELECT path, line_start + 2 AS a, line_start + 6 AS b, id AS decision, added_at AS made FROM (SELECT DISTINCT id, path, line_start, added_at, ordinal FROM sections) WHERE ordinal % 3 = 0)
     SELECT id, decision FROM (SELECT h.id, d.decision, row_number() OVER (PARTITION BY h.id ORDER BY d.made DESC, d.decision) AS r FROM h JOIN d ON h.path = d.path WHERE d.a IS NULL OR (d.a <= h.line_end AND d.b >= h.line_start)) WHERE r = 1""")
 both("latest_decision", "SELECT path, id FROM (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY commit_time DESC NULLS LAST, id) AS r FROM (SELECT DISTINCT path, id, commit_time FROM docs)) WHERE r = 1")

@@ -24,7 +24,6 @@ both("tumbling", """SELECT window.start AS start, event_type, count(*) AS n, rou
      """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
 both("sessions", """SELECT user_id, CAST(count(DISTINCT s) AS BIGINT) AS sessions FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id,
     CASE WHEN MICROS(ts) - MICROS(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id""")
-both("canonical_hash", "SELECT event_id, md5(concat(CAST(user_id AS STRING), '|', event_type, '|', props)) AS h FROM events", "SELECT event_id, md5(concat(CAST(user_id AS VARCHAR), '|', event_type, '|', props)) AS h FROM events")
 both("source_weights", "SELECT source, round(sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER (), 6) AS p FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 both("context_cut", """SELECT id, CAST(CASE WHEN used >= 8000 THEN 0 WHEN used + n > 8000 THEN 8000 - used ELSE n END AS BIGINT) AS kept FROM (SELECT id, n, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY ordinal, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
     FROM (SELECT DISTINCT id, doc_id, ordinal, CHARS(text) AS n FROM sections WHERE text IS NOT NULL))""")

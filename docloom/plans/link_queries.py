@@ -248,14 +248,11 @@ both("domain_status", """WITH b AS (SELECT component, max(added_at) AS built, co
 both("forget_plan", r"""WITH d AS (SELECT DISTINCT component, regexp_extract(abspath, RX'^(/[^/]+/[^/]+)/', 1) AS root FROM docs WHERE abspath IS NOT NULL) SELECT a.component, a.root FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.root = a.root AND b.component <> a.component)""")
 both("reuse_questions", """WITH s AS (SELECT path, heading_path, md5(text) AS h, min(id) AS id FROM sections WHERE removed_at IS NULL GROUP BY 1, 2, 3), o AS (SELECT path, heading_path, md5(text) AS h, id FROM sections WHERE removed_at IS NOT NULL)
     SELECT DISTINCT o.id AS old_id, s.id AS new_id FROM o JOIN s ON o.h = s.h AND o.heading_path = s.heading_path""")
-both("question_jobs", """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS k, id FROM sections) SELECT id FROM (SELECT id, row_number() OVER (ORDER BY k, id) AS r FROM s WHERE id NOT IN (SELECT DISTINCT g FROM (SELECT EACH(transform(gold, x -> x.section)) AS g FROM questions) WHERE g IS NOT NULL)) WHERE r <= 10000""",
-     """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS k, id FROM sections) SELECT id FROM (SELECT id, row_number() OVER (ORDER BY k, id) AS r FROM s WHERE id NOT IN (SELECT DISTINCT g FROM (SELECT unnest(list_transform(gold, lambda x: x.section)) AS g FROM questions) WHERE g IS NOT NULL)) WHERE r <= 10000""")
 both("section_jobs", """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS mark, id FROM sections), g AS (SELECT DISTINCT g AS id FROM (SELECT EACH(transform(gold, x -> x.section)) AS g FROM questions) WHERE g IS NOT NULL)
     SELECT 'normal' AS kind, id, mark FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = s.id) UNION ALL SELECT 'ident', id, mark FROM (SELECT id, mark FROM s ORDER BY md5(concat('1|', mark)), id LIMIT 10000)""",
      """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS mark, id FROM sections), g AS (SELECT DISTINCT g AS id FROM (SELECT unnest(list_transform(gold, lambda x: x.section)) AS g FROM questions) WHERE g IS NOT NULL)
     SELECT 'normal' AS kind, id, mark FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = s.id) UNION ALL SELECT 'ident', id, mark FROM (SELECT id, mark FROM s ORDER BY md5(concat('1|', mark)), id LIMIT 10000)""")
 both("index_render", r"""SELECT component, array_join(sort_array(collect_set(coalesce(title, '')), false), '; ') AS titles FROM docs GROUP BY component""", r"""SELECT component, array_to_string(list_sort(list(DISTINCT coalesce(title, '')), 'DESC'), '; ') AS titles FROM docs GROUP BY component""")
-both("symbol_source", r"""SELECT DISTINCT id, substr(text, 1, 40) AS head, CAST(LEN(SPLIT(text, '```')) AS BIGINT) AS parts FROM sections""")
 both("one_hop", f"WITH {_LINK}, e AS (SELECT section_id AS a, node_id AS b FROM l WHERE section_id IS NOT NULL AND node_id IS NOT NULL) SELECT v, count(DISTINCT w) AS neighbours FROM (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e) GROUP BY v")
 both("folder_facts", r"""SELECT regexp_extract(source_file, RX'^(.*)/[^/]*$', 1) AS folder, count(DISTINCT source_file) AS files, count(DISTINCT id) AS symbols, concat('contains ', CAST(count(DISTINCT id) AS STRING), ' symbols') AS fact FROM nodes GROUP BY 1""",
      r"""SELECT regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS folder, count(DISTINCT source_file) AS files, count(DISTINCT id) AS symbols, concat('contains ', CAST(count(DISTINCT id) AS VARCHAR), ' symbols') AS fact FROM nodes GROUP BY 1""")

@@ -10,9 +10,6 @@ from docloom.plans.dialects import both
 from docloom.plans.registry import query
 from docloom.session import table
 
-both("src_jsonl", "SELECT event_id, CAST(JSONGET(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE props IS NOT NULL AND JSONGET(props, '$.k') IS NOT NULL")
-both("src_sentences", r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, EACH(SPLIT(text, '\n')) AS line FROM documents) WHERE LEN(regexp_extract_all(line, RX'[^ \t\r]+', 0)) >= 5 GROUP BY doc_id",
-     r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE LEN(regexp_extract_all(line, '[^ \t\r]+', 0)) >= 5 GROUP BY doc_id")
 both("src_lines", r"SELECT doc_id, CAST(sum(CASE WHEN MATCHES(line, RX'[^ \t\r]') THEN 1 ELSE 0 END) AS BIGINT) AS filled FROM (SELECT doc_id, EACH(SPLIT(text, '\n')) AS line FROM documents) GROUP BY doc_id",
      r"SELECT doc_id, CAST(sum(CASE WHEN MATCHES(line, RX'[^ \t\r]') THEN 1 ELSE 0 END) AS BIGINT) AS filled FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 both("src_vectors", "SELECT vec_id, label, CAST(LEN(embedding) AS BIGINT) AS dimensions FROM embeddings")
@@ -23,7 +20,6 @@ both("split_replay", """SELECT id, CASE WHEN r <= 20 THEN 'validation' ELSE 'tra
 both("iso_times", "SELECT DISTINCT id, DAY(commit_time, YMD) AS day, DAY(commit_time, YM_) AS month FROM docs WHERE commit_time IS NOT NULL")
 both("session_seconds", "SELECT user_id, round((max(MICROS(ts)) - min(MICROS(ts))) / CAST(1000000 AS DOUBLE), 1) AS seconds FROM events GROUP BY user_id")
 both("percentiles", "SELECT event_type, round(percentile(value, 0.025), 6) AS low, round(percentile(value, 0.975), 6) AS high FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type")
-both("softmax", """SELECT doc_id, source, round(w / sum(w) OVER (PARTITION BY source), 9) AS p FROM (SELECT doc_id, source, exp(z - max(z) OVER (PARTITION BY source)) AS w FROM (SELECT doc_id, source, CHARS(text) / CAST(500 AS DOUBLE) AS z FROM documents WHERE text IS NOT NULL))""")
 both("counter_map", "SELECT user_id, array_join(array_sort(collect_list(concat(event_type, '=', CAST(n AS STRING)))), ',') AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id",
      "SELECT user_id, array_to_string(list_sort(list(concat(event_type, '=', CAST(n AS VARCHAR)))), ',') AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id")
 both("path_tails", """SELECT DISTINCT source_file, array_join(slice(p, -k, k), '/') AS tail FROM (SELECT source_file, p, EACH(SERIES(1, least(4, size(p)))) AS k FROM (SELECT source_file, SPLIT(source_file, '/') AS p FROM nodes WHERE source_file IS NOT NULL))""",
@@ -34,11 +30,6 @@ both("alive_now", "SELECT component, count(DISTINCT id) FILTER (WHERE removed_at
 both("late_links", "SELECT DAY(built_at, YM_) AS month, count(*) AS links, count(*) FILTER (WHERE loaded_at > built_at + INTERVAL '1' DAY) AS late FROM (SELECT DISTINCT * FROM links) WHERE built_at IS NOT NULL GROUP BY 1")
 both("recorded_words", r"SELECT id, CAST(coalesce(words, 0) AS BIGINT) AS recorded, CAST(LEN(regexp_extract_all(text, RX'[^ \t\r\n]+', 0)) AS BIGINT) AS counted FROM (SELECT DISTINCT id, words, text FROM sections) WHERE coalesce(words, 0) <> LEN(regexp_extract_all(text, RX'[^ \t\r\n]+', 0))")
 both("heading_depth", "SELECT component, level, count(DISTINCT id) AS sections FROM sections GROUP BY CUBE (component, level)")
-both("token_mask", "SELECT id, CAST(sum(CASE WHEN substr(md5(concat(id, '|', CAST(k AS STRING))), 1, 1) IN ('0', '1') THEN 1 ELSE 0 END) AS BIGINT) AS masked, count(*) AS tokens FROM (SELECT id, EACH(SERIES(1, LEN(regexp_extract_all(question, RX'[^ ]+', 0)))) AS k FROM (SELECT DISTINCT id, question FROM questions)) GROUP BY id",
-     "SELECT id, CAST(sum(CASE WHEN substr(md5(concat(id, '|', CAST(k AS VARCHAR))), 1, 1) IN ('0', '1') THEN 1 ELSE 0 END) AS BIGINT) AS masked, count(*) AS tokens FROM (SELECT id, unnest(generate_series(1, LEN(regexp_extract_all(question, '[^ ]+', 0)))) AS k FROM (SELECT DISTINCT id, question FROM questions)) GROUP BY id")
-both("head_tail_split", "SELECT doc_id, CASE WHEN r * 100 <= n * 90 THEN 'head' ELSE 'tail' END AS part FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)")
-both("request_text", r"SELECT DISTINCT id FROM questions WHERE NOT STARTS(question, '<') AND NOT MATCHES(lower(question), RX'interrupted|caveat') AND CHARS(question) > 20")
-both("json_block", r"SELECT doc_id, regexp_extract(text, RX'```(?:json|yaml|sh|python|text)?\n([^`]*)\n```', 1) AS block FROM documents WHERE MATCHES(text, RX'```(?:json|yaml|sh|python|text)?\n[^`]*\n```')")
 both("session_errors", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type <> 'error') AS fine FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') > 0")
 both("weekly_pivot", "SELECT DAY(ts, YMD) AS day, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY 1")
 both("repeat_rows", "SELECT 'sections' AS name, count(*) - count(DISTINCT id) AS extra FROM sections UNION ALL SELECT 'docs', count(*) - count(DISTINCT id) FROM docs UNION ALL SELECT 'links', count(*) - count(DISTINCT link_id) FROM links UNION ALL SELECT 'questions', count(*) - count(DISTINCT id) FROM questions")
