@@ -12,12 +12,14 @@ Pre-tokens recur, so each Python worker keeps the packed ids of those it has met
 from __future__ import annotations
 
 import base64
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Vocabulary file of the tokenizer, as ranks.
@@ -179,12 +181,23 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> Encoder:
-    """This process's encoder for the vocabulary."""
+    """This process's encoder for the vocabulary: of the file where it lies, else of the copy that shipped() sent."""
     if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
+        there = os.path.exists(vocabulary)
+        _ENCODERS[vocabulary] = Encoder(vocabulary if there else SparkFiles.get(os.path.basename(vocabulary)))
     return _ENCODERS[vocabulary]
 
 
+def shipped(docs: DataFrame, vocabulary: str) -> str:
+    """Sends the vocabulary file to the executors, once a session, so that it must lie on the driver only."""
+    sc = docs.sparkSession.sparkContext
+    sent = sc.__dict__.setdefault("_docloom_files", set())
+    if vocabulary not in sent and os.path.exists(vocabulary):
+        sc.addFile(vocabulary)
+        sent.add(vocabulary)
+    return vocabulary
+
+
 def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, ids): the ids of each text without special tokens, one output row per input row, without a shuffle. Null
     and empty texts give an empty list. Other columns are ignored."""
@@ -197,6 +210,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = DEFAUL
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
+    shipped(docs, vocabulary)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key], docs[text].cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -210,6 +224,7 @@ def count_tokens(docs: DataFrame, key: str, text: str, keep: list[str], vocabula
             n = pa.array([len(make(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], names=[key, *keep, "n_tokens"])
 
+    shipped(docs, vocabulary)
     columns = [docs[c] for c in (key, *keep)]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
     return docs.select(docs[text].cast("string"), *columns).mapInArrow(run, f"{schema}, n_tokens bigint")
