@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docloom.functions.text import is_request
 
 #: Shell commands that search, and the commands of a memory by what they do.
 SEARCHES = r"(^|[\s|;&(`])(grep|egrep|fgrep|rg|ag|ack|git\s+grep|find|fd)\s"
@@ -117,3 +120,39 @@ def paired(events: DataFrame, one: str, other: str) -> DataFrame:
     where there are fewer. Each kind is numbered by itself."""
     numbered = lambda name, t: events.filter(F.col("event") == name).select("session", F.col("t").alias(t), F.expr("cast(row_number() over (partition by session order by t) as bigint)").alias("n"))
     return numbered(one, "first_t").join(numbered(other, "then_t"), ["session", "n"], "left")
+
+
+#: Tools that touch a file, and the one that keeps a list of tasks.
+EDITS = "Edit Write MultiEdit NotebookEdit".split()
+TASKS = "TodoWrite"
+
+
+def handoff(blocks: DataFrame) -> DataFrame:
+    """(session, item, place, said): what is handed on of each session: goal (the first request), latest (the last one if it
+    is another), state (the last list of tasks in numbers), open (its tasks that aren't completed), next (those pending), file
+    (the 15 touched last, in order of their last touch), question (the last three of the last reply that asks any).
+
+    blocks: the blocks of a transcript in order, (session, no, role, kind, text, tool, file, tasks): role user or assistant,
+    kind text, tool_use or tool_result, no numbers the messages; a message with a tool's result is no request; tasks is an
+    array of structs (content, status). Every item is a grouped extreme or a short list by rank, so a long session is
+    never gathered."""
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    results = blocks.filter("role = 'user' and kind = 'tool_result'").select("session", "no").distinct()
+    asked = blocks.filter("role = 'user' and kind = 'text'").filter(is_request(F.col("text"))).join(results, ["session", "no"], "left_anti").select("session", "no", F.left(text, F.lit(600)).alias("said"))
+    ends = asked.groupBy("session").agg(F.min_by("said", "no").alias("first"), F.max_by("said", "no").alias("last"))
+    item = lambda df, name, place, said: df.select("session", F.lit(name).alias("item"), place.cast("int").alias("place"), said.alias("said"))
+    one = F.lit(1)
+    out = item(ends, "goal", one, F.col("first")).union(item(ends.filter("first <> last"), "latest", one, F.col("last")))
+    lists = blocks.filter((F.col("tool") == TASKS) & (F.size("tasks") > 0)).groupBy("session").agg(F.max_by("tasks", "no").alias("tasks"))
+    count = lambda status: F.size(F.filter("tasks", lambda t: t["status"] == status)).cast("string")
+    out = out.union(item(lists, "state", one, F.concat(count("completed"), F.lit(" done, "), count("in_progress"), F.lit(" in progress, "), count("pending"), F.lit(" pending"))))
+    each = lists.select("session", F.posexplode("tasks").alias("i", "t"))
+    out = out.union(item(each.filter("t.status <> 'completed'"), "open", F.col("i") + 1, F.concat(F.lit("["), "t.status", F.lit("] "), "t.content")))
+    out = out.union(item(each.filter("t.status = 'pending'"), "next", F.col("i") + 1, F.col("t.content")))
+    ranked = lambda df, *order: df.withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy(*order)))
+    touched = blocks.filter(F.col("tool").isin(EDITS) & (F.coalesce("file", F.lit("")) != "")).groupBy("session", "file").agg(F.max("no").alias("no"))
+    last = ranked(touched, F.desc("no"), "file").filter("r <= 15")
+    out = out.union(item(last, "file", F.col("r"), F.col("file")))
+    lines = blocks.filter("role = 'assistant' and kind = 'text'").select("session", "no", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("i", "line")).withColumn("line", F.trim("line")).filter(F.col("line").endswith("?"))
+    newest = lines.groupBy("session").agg(F.max("no").alias("no"))
+    return out.union(item(ranked(lines.join(newest, ["session", "no"]), F.desc("i")).filter("r <= 3"), "question", F.col("r"), F.col("line")))

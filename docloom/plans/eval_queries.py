@@ -43,7 +43,7 @@ both("verify_manifest", """SELECT doc_id, problem FROM (SELECT doc_id, EACH(ARRA
 both("check_sources", "SELECT a.path, a.sha256 AS pinned, b.sha256 AS found FROM (SELECT path, min(sha256) AS sha256 FROM docs GROUP BY path) a JOIN (SELECT path, max(sha256) AS sha256 FROM docs GROUP BY path) b ON a.path = b.path WHERE a.sha256 <> b.sha256")
 both("guard_path", r"SELECT DISTINCT path FROM docs WHERE MATCHES(lower(path), RX'\.bak\.|(^|/)archive/|-copy\.')")
 both("guard_text", r"SELECT doc_id FROM documents WHERE MATCHES(lower(text), RX'(^|[^a-z0-9])(manifest|heartbeat)([^a-z0-9]|$)') AND MATCHES(lower(text), RX'(^|[^a-z0-9])quorum([^a-z0-9]|$)')")
-both("decisions_for_hit", """WITH h AS (SELECT DISTINCT id, path, line_start, line_end FROM sections), d AS (SELECT path, line_start + 2 AS a, line_start + 6 AS b, id AS decision, added_at AS made FROM (SELECT DISTINCT id, path, line_start, added_at, ordinal FROM sections) WHERE ordinal % 3 = 0)
+both("decisions_for_hit", """WITH h AS (SELECT DISTINCT id, path, line_start, line_end FROM sections), d AS (SELECT path, line_start + 2 AS a, line_start + 6 AS b, id AS decision, added_at AS made FROM (SELECT DISTINCT id, path, line_start, added_at FROM sections))
     SELECT id, decision FROM (SELECT h.id, d.decision, row_number() OVER (PARTITION BY h.id ORDER BY d.made DESC, d.decision) AS r FROM h JOIN d ON h.path = d.path WHERE d.a IS NULL OR (d.a <= h.line_end AND d.b >= h.line_start)) WHERE r = 1""")
 both("latest_decision", "SELECT path, id FROM (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY commit_time DESC NULLS LAST, id) AS r FROM (SELECT DISTINCT path, id, commit_time FROM docs)) WHERE r = 1")
 
@@ -71,18 +71,18 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.single_gold(evaluate.first_hits(_ranked(spark, sf_dir)))
 
 
-@query("public_ir", _RANKED + """, g AS (SELECT query, rank, relevant, sum(CASE WHEN relevant THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank) AS got FROM rel WHERE rank <= 10)
-    SELECT query, CAST(sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(coalesce(sum(CASE WHEN relevant THEN got / CAST(rank AS DOUBLE) END), 0) / 10, 6) AS map10,
-    round(sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) / sum(1 / log2(rank + 1)), 6) AS ndcg10 FROM g GROUP BY query""")
+@query("public_ir", _RANKED + """, tot AS (SELECT label, count(*) - 1 AS n FROM v GROUP BY label), t AS (SELECT own.vec_id AS query, tot.n FROM own JOIN tot ON own.label IS NOT DISTINCT FROM tot.label),
+    g AS (SELECT query, rank, relevant, sum(CASE WHEN relevant THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank) AS got FROM rel WHERE rank <= 10), m AS (SELECT g.*, n FROM g JOIN t USING (query))
+    SELECT query, max(n) AS gold, CAST(sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(coalesce(sum(CASE WHEN relevant THEN 1 ELSE 0 END) / nullif(max(n), 0)::DOUBLE, 0), 6) AS recall10,
+    round(coalesce(sum(CASE WHEN relevant THEN got / CAST(rank AS DOUBLE) END) / nullif(least(max(n), 10), 0), 0), 6) AS map10, round(coalesce(1.0::DOUBLE / min(CASE WHEN relevant THEN rank END), 0), 6) AS mrr10,
+    round(coalesce(sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(generate_series(1, least(max(n), 10)), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg10 FROM m GROUP BY query""")
 def public_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics with ten relevant records each."""
-    own = Window.partitionBy("query").orderBy("rank")
-    g = _ranked(spark, sf_dir).filter("rank <= 10").withColumn("got", F.sum(F.col("relevant").cast("int")).over(own))
-    gain = 1 / F.log2(F.col("rank") + 1)
-    return g.groupBy("query").agg(
-        F.sum(F.col("relevant").cast("int")).alias("hits"), F.round(F.coalesce(F.sum(F.when(F.col("relevant"), F.col("got") / F.col("rank"))), F.lit(0.0)) / 10, 6).alias("map10"),
-        F.round(F.sum(F.when(F.col("relevant"), gain).otherwise(0.0)) / F.sum(gain), 6).alias("ndcg10"),
-    )
+    """Metrics with several relevant records: all other vectors of the query's label."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label").distinct()
+    totals = v.groupBy(F.col("label").alias("l")).agg((F.count("*") - 1).alias("gold"))
+    totals = v.join(totals, F.col("l").eqNullSafe(F.col("label"))).select(F.col("vec_id").alias("query"), "gold")
+    out = evaluate.several_gold(_ranked(spark, sf_dir), totals)
+    return out.select("query", "gold", "hits", *[F.round(c, 6).alias(c) for c in ("recall10", "map10", "mrr10", "ndcg10")])
 
 
 @query("mode_table", _MODES_SQL + ", " + _GOLD_D + r""", gs AS (SELECT DISTINCT id AS query, section FROM gold WHERE section IS NOT NULL AND id IN (SELECT id FROM asked)),
@@ -105,16 +105,15 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BM25_GOLD = BM25_SQL + ", " + _GOLD_D + """, g AS (SELECT DISTINCT id AS query, path FROM gold), p AS (SELECT DISTINCT id, path FROM sections),
-    hit AS (SELECT bm25.query, count(DISTINCT CASE WHEN bm25.rank <= 5 THEN g.path END) AS at5, count(DISTINCT CASE WHEN bm25.rank <= 10 THEN g.path END) AS at10 FROM bm25 JOIN p ON p.id = bm25.key LEFT JOIN g ON g.query = bm25.query AND g.path = p.path GROUP BY bm25.query)"""
+    hit AS (SELECT bm25.query, count(DISTINCT CASE WHEN bm25.rank <= 5 THEN g.path END) AS at5, count(DISTINCT CASE WHEN bm25.rank <= 10 THEN g.path END) AS at10, any_value(coalesce(gn.n, 0)) AS groups FROM bm25 JOIN p ON p.id = bm25.key LEFT JOIN g ON g.query = bm25.query AND g.path = p.path LEFT JOIN (SELECT query, count(*) AS n FROM g GROUP BY query) gn ON gn.query = bm25.query GROUP BY bm25.query)"""
 
 
-@query("group_recall", _BM25_GOLD + " SELECT query, at5, at10 FROM hit")
+@query("group_recall", _BM25_GOLD + " SELECT query, groups, at5, at10, at10 = groups AND groups > 0 AS all10 FROM hit")
 def group_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold documents among the first 5 and 10 sections of each question."""
+    """Of the gold documents of each question those among the first 5 and 10 sections, and whether the ten have all."""
     paths = table(spark, sf_dir, "sections").select(F.col("id").alias("key"), "path").distinct()
-    gold = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), F.explode("gold.path").alias("path")).distinct().withColumn("gold", F.col("path"))
-    hits = bm25(spark, sf_dir).join(paths, "key").join(gold, ["query", "path"], "left")
-    return hits.groupBy("query").agg(F.countDistinct(F.when(F.col("rank") <= 5, F.col("gold"))).alias("at5"), F.countDistinct(F.when(F.col("rank") <= 10, F.col("gold"))).alias("at10"))
+    gold = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), F.explode("gold.path").alias("group")).distinct()
+    return evaluate.group_hits(bm25(spark, sf_dir), paths.withColumnRenamed("path", "group"), gold)
 
 
 @query("context_hits", _BM25_GOLD + " SELECT count(*) AS queries, CAST(sum(CASE WHEN at5 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS in5, CAST(sum(CASE WHEN at10 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS in10 FROM hit")

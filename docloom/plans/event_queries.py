@@ -13,7 +13,6 @@ from docloom.session import table
 both("src_events", "SELECT event_id, user_id, event_type, CAST(JSONGET(props, '$.k') AS BIGINT) AS k FROM events")
 both("tool_counts", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
 both("tool_errors", "SELECT event_id, user_id FROM events WHERE event_type = 'error' OR CAST(JSONGET(props, '$.exit') AS BIGINT) <> 0")
-both("handoff_extract", """SELECT user_id, event_id, CAST(n AS BIGINT) AS n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'view') WHERE n <= 3""")
 both("sequence", """SELECT event_id, user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS place, coalesce(MICROS(ts) - MICROS(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) AS since FROM events""")
 both("ack_once", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 both("pending_tasks", "SELECT user_id FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type IN ('click', 'purchase')) WHERE r = 1 AND event_type = 'click'")
@@ -27,9 +26,6 @@ both("sessions", """SELECT user_id, CAST(count(DISTINCT s) AS BIGINT) AS session
 both("source_weights", "SELECT source, round(sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER (), 6) AS p FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 both("context_cut", """SELECT id, CAST(CASE WHEN used >= 8000 THEN 0 WHEN used + n > 8000 THEN 8000 - used ELSE n END AS BIGINT) AS kept FROM (SELECT id, n, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY ordinal, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
     FROM (SELECT DISTINCT id, doc_id, ordinal, CHARS(text) AS n FROM sections WHERE text IS NOT NULL))""")
-both("order_hierarchy", """SELECT r.r_name, n.n_name, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS orders, CAST(sum(CAST(round(o.o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey
-    GROUP BY GROUPING SETS ((r.r_name), (r.r_name, n.n_name))""")
-both("part_supply", """SELECT p.p_brand, s.s_suppkey, count(*) AS lines, CAST(sum(CAST(round(l.l_extendedprice * (1 - l.l_discount) * 10000) AS BIGINT)) AS BIGINT) AS revenue_e4 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY p.p_brand, s.s_suppkey""")
 
 #: A session and its transcript, tools of every category, a call that never ends and one that ends twice.
 _LOG = [
@@ -60,6 +56,24 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.withColumn("of", sessions.classified(F.col("tool"), F.coalesce("command", F.lit("")), ["memory"])).select("tool", "command", "of.*")
 
 
+_TASKS = [("limiter middleware", "completed"), ("tests for 429", "in_progress"), ("document the setting", "pending")]
+_TALK = [
+    ("a", 1, "user", "text", "Add rate limiting\n to the API", None, None, None), ("a", 2, "assistant", "tool_use", None, "Edit", "backend/api.py", None), ("a", 2, "assistant", "tool_use", None, "TodoWrite", None, _TASKS),
+    ("a", 2, "assistant", "text", "Done with it.\nPer org or per user?\nOr both? \nNo.\nHow many?\nSince when?", None, None, None), ("a", 3, "user", "tool_result", None, None, None, None), ("a", 3, "user", "text", "ok then", None, None, None), ("a", 4, "user", "text", "<command>x</command>", None, None, None),
+    ("a", 5, "assistant", "tool_use", None, "Write", "docs/a.md", None), ("a", 6, "assistant", "tool_use", None, "Edit", "backend/api.py", None), ("a", 7, "assistant", "text", "Fine.", None, None, None), ("b", 1, "user", "text", "First", None, None, None), ("b", 2, "user", "text", "Second", None, None, None),
+    ("b", 3, "assistant", "tool_use", None, "TodoWrite", None, []), ("c", 1, "user", "text", "Caveat: none", None, None, None),
+]
+
+
+@query("handoff_extract", said("session, item, place, said", [
+    ("a", "goal", 1, "Add rate limiting to the API"), ("a", "state", 1, "1 done, 1 in progress, 1 pending"), ("a", "open", 2, "[in_progress] tests for 429"), ("a", "open", 3, "[pending] document the setting"), ("a", "next", 3, "document the setting"),
+    ("a", "file", 1, "backend/api.py"), ("a", "file", 2, "docs/a.md"), ("a", "question", 1, "Since when?"), ("a", "question", 2, "How many?"), ("a", "question", 3, "Or both?"), ("b", "goal", 1, "First"), ("b", "latest", 1, "Second"),
+]))
+def handoff_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "session string, no int, role string, kind string, text string, tool string, file string, tasks array<struct<content: string, status: string>>"
+    return sessions.handoff(spark.createDataFrame(_TALK, kind))
+
+
 @query("session_report", said("session, measure, name, value", [
     *[("s1", m, "", float(v)) for m, v in {"events": 12, "duration_s": 6.0, "prompts": 1, "tool_calls": 3, "grep_calls": 1, "memory_calls": 2, "memory_searches": 1, "memory_updates": 1, "memory_injected": 1, "tool_errors": 2, "unfinished_tool_calls": 1,
         "reasoning_steps": 1, "compactions": 0, "subagents": 0, "hook_errors": 0, "monitor_errors": 0}.items()],

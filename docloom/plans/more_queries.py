@@ -13,7 +13,6 @@ from docloom.session import table
 both("src_lines", r"SELECT doc_id, CAST(sum(CASE WHEN MATCHES(line, RX'[^ \t\r]') THEN 1 ELSE 0 END) AS BIGINT) AS filled FROM (SELECT doc_id, EACH(SPLIT(text, '\n')) AS line FROM documents) GROUP BY doc_id",
      r"SELECT doc_id, CAST(sum(CASE WHEN MATCHES(line, RX'[^ \t\r]') THEN 1 ELSE 0 END) AS BIGINT) AS filled FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 both("src_vectors", "SELECT vec_id, label, CAST(LEN(embedding) AS BIGINT) AS dimensions FROM embeddings")
-both("lang_of_docs", "SELECT coalesce(lower(trim(lang)), 'none') AS lang, count(*) AS documents, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 both("unlisted_rows", "SELECT q.id FROM (SELECT DISTINCT id, component FROM questions) q LEFT JOIN (SELECT DISTINCT component FROM docs) d ON q.component = d.component WHERE d.component IS NULL")
 both("admitted_rows", "SELECT DISTINCT q.id FROM questions q WHERE lower(trim(q.split)) = 'train' AND q.component IN (SELECT component FROM docs WHERE component IS NOT NULL)")
 both("split_replay", """SELECT id, CASE WHEN r <= 20 THEN 'validation' ELSE 'train' END AS part FROM (SELECT id, row_number() OVER (PARTITION BY source ORDER BY md5(concat('13|', id)), id) AS r FROM (SELECT DISTINCT id, source FROM questions WHERE lower(trim(split)) = 'train'))""")
@@ -26,13 +25,10 @@ both("path_tails", """SELECT DISTINCT source_file, array_join(slice(p, -k, k), '
      """SELECT DISTINCT source_file, array_to_string(p[len(p) - k + 1:], '/') AS tail FROM (SELECT source_file, p, unnest(generate_series(1, least(4, len(p)))) AS k FROM (SELECT source_file, string_split(source_file, '/') AS p FROM nodes WHERE source_file IS NOT NULL))""")
 both("first_by_order", "SELECT doc_id, min(ordinal) AS first, max(ordinal) AS last, count(DISTINCT id) AS n FROM sections GROUP BY doc_id")
 both("archive_beyond", "SELECT id, component FROM (SELECT id, component, row_number() OVER (PARTITION BY component ORDER BY commit_time DESC NULLS LAST, id) AS r FROM (SELECT DISTINCT id, component, commit_time FROM docs)) WHERE r > 20")
-both("alive_now", "SELECT component, count(DISTINCT id) FILTER (WHERE removed_at IS NULL) AS alive, count(DISTINCT id) FILTER (WHERE removed_at IS NOT NULL) AS removed FROM nodes GROUP BY component")
 both("late_links", "SELECT DAY(built_at, YM_) AS month, count(*) AS links, count(*) FILTER (WHERE loaded_at > built_at + INTERVAL '1' DAY) AS late FROM (SELECT DISTINCT * FROM links) WHERE built_at IS NOT NULL GROUP BY 1")
 both("recorded_words", r"SELECT id, CAST(coalesce(words, 0) AS BIGINT) AS recorded, CAST(LEN(regexp_extract_all(text, RX'[^ \t\r\n]+', 0)) AS BIGINT) AS counted FROM (SELECT DISTINCT id, words, text FROM sections) WHERE coalesce(words, 0) <> LEN(regexp_extract_all(text, RX'[^ \t\r\n]+', 0))")
 both("heading_depth", "SELECT component, level, count(DISTINCT id) AS sections FROM sections GROUP BY CUBE (component, level)")
 both("session_errors", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type <> 'error') AS fine FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') > 0")
-both("weekly_pivot", "SELECT DAY(ts, YMD) AS day, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY 1")
-both("repeat_rows", "SELECT 'sections' AS name, count(*) - count(DISTINCT id) AS extra FROM sections UNION ALL SELECT 'docs', count(*) - count(DISTINCT id) FROM docs UNION ALL SELECT 'links', count(*) - count(DISTINCT link_id) FROM links UNION ALL SELECT 'questions', count(*) - count(DISTINCT id) FROM questions")
 
 
 @query("shingle_overlap", r"""WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS q, regexp_extract_all(lower(answer), '[\p{L}\p{N}_]+') AS a FROM questions WHERE answer IS NOT NULL)
