@@ -137,3 +137,39 @@ def manifest_problems(rows: DataFrame, sources: DataFrame, files: DataFrame) ->
         F.when(F.col("pinned").isNull(), F.concat("id", F.lit(": not listed"))).when(F.col("pinned") != F.coalesce("revision", F.lit("")), F.concat("id", F.lit(": other revision"))),
     ]
     return _listed(at, "file", checks).distinct()
+
+
+def stale_builds(builds: DataFrame, heads: DataFrame, files: DataFrame) -> DataFrame:
+    """(domain, reason) of domains whose build is behind: never built, its repository's head moved and the move touched one of
+    its files, or a file that isn't committed is newer than the build.
+
+    builds: (domain, root, head, built), built null if never; heads: (root, head) now; files: (root, head, path, modified,
+    committed) of documents and code, committed files with the head that last touched them since the build."""
+    none = builds.filter("built is null").select("domain", F.lit("never built").alias("reason"))
+    made = builds.filter("built is not null")
+    moved = made.join(heads.select("root", F.col("head").alias("now")), "root").filter("now <> head").select("domain", "root", "head")
+    touched = files.filter("committed").select("root", F.col("head").alias("by")).distinct()
+    moved = moved.join(touched, "root").filter("by <> head").select("domain", F.lit("head moved").alias("reason"))
+    newer = made.join(files.filter("not committed").groupBy("root").agg(F.max("modified").alias("modified")), "root").filter("modified > built").select("domain", F.lit("file changed").alias("reason"))
+    return none.union(moved).union(newer).distinct()
+
+
+def forget_plan(holdings: DataFrame, domain: str) -> DataFrame:
+    """(path, kind) of what goes with a domain: of its holdings (domain, path, kind) those that no other domain holds."""
+    own = holdings.filter(F.col("domain") == domain).select("path", "kind").distinct()
+    return own.join(holdings.filter(F.col("domain") != domain).select("path").distinct(), "path", "left_anti").select("path", "kind")
+
+
+def carried_over(questions: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(question, old_id, new_id) of questions (question, id) whose section stands unchanged in a new build: the same path,
+    heading and text, null being equal to null. Sections are (id, path, heading, text); of equal new ones the least id counts."""
+    key = lambda df: df.withColumn("_text", F.sha2(F.to_json(F.struct("path", "heading", "text"), {"ignoreNullFields": "false"}), 256))
+    there = key(new).groupBy("_text").agg(F.min("id").alias("new_id"))
+    held = key(old.join(questions.select("id").distinct(), "id", "left_semi")).select(F.col("id").alias("old_id"), "_text").distinct()
+    return questions.withColumnRenamed("id", "old_id").join(held.join(there, "_text").select("old_id", "new_id"), "old_id").select("question", "old_id", "new_id")
+
+
+def moved_sources(sources: DataFrame, heads: DataFrame) -> DataFrame:
+    """(id, pinned, found) of pinned sources whose clone (id, head) is missing or stands at another revision."""
+    at = sources.filter("local_dir is not null").select("id", F.col("revision").alias("pinned")).distinct().join(heads.select("id", F.col("head").alias("found")), "id", "left")
+    return at.filter(~F.col("pinned").eqNullSafe(F.col("found")))

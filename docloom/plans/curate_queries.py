@@ -244,8 +244,6 @@ def eligible_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 both("count_units", "SELECT source, count(*) AS documents, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source")
 both("mix_share", """SELECT source, n_chars, round(n_chars / CAST(sum(n_chars) OVER () AS DOUBLE), 6) AS share FROM (
     SELECT source, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source) ORDER BY n_chars DESC, source LIMIT 15""")
-both("fil_binary", "SELECT doc_id FROM documents WHERE CHARS(text) - CHARS(replace(text, chr(65533), '')) > 0.01 * CHARS(text)",
-     "SELECT doc_id FROM documents WHERE CHARS(text) - CHARS(replace(text, chr(65533), '')) > 0.01 * CHARS(text)")
 both("content_hash", "SELECT doc_id, sha2(text, 256) AS sha FROM documents", "SELECT doc_id, sha256(text) AS sha FROM documents")
 both("hash_split", """SELECT id, CASE WHEN (aggregate(split(sha2(id, 256), ''), 0, (a, c) -> a + if(c = '', 0, CAST(conv(c, 16, 10) AS INT)))) % 3 = 0 THEN 'dev' ELSE 'test' END AS part FROM (SELECT DISTINCT id FROM questions)""",
      """SELECT id, CASE WHEN CAST(list_sum(list_transform(string_split(sha256(id), ''), lambda c: instr('0123456789abcdef', c) - 1)) AS BIGINT) % 3 = 0 THEN 'dev' ELSE 'test' END AS part FROM (SELECT DISTINCT id FROM questions)""")

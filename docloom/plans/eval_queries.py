@@ -40,7 +40,6 @@ both("prov_manifest", """SELECT t.source, t.target_share, coalesce(d.documents,
      """SELECT t.source, t.target_share, coalesce(d.documents, 0) AS documents, coalesce(d.n_chars, 0) AS n_chars, md5(concat(t.source, '|', CAST(coalesce(d.documents, 0) AS VARCHAR))) AS mark FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS documents, CAST(sum(CHARS(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source) d ON d.source = t.source""")
 both("verify_manifest", """SELECT doc_id, problem FROM (SELECT doc_id, EACH(ARRAY(CASE WHEN n_chars IS NULL THEN 'no count' WHEN n_chars <> CHARS(text) THEN 'wrong count' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN source IS NULL THEN 'no source' END)) AS problem FROM documents) WHERE problem IS NOT NULL""",
      """SELECT doc_id, problem FROM (SELECT doc_id, unnest([CASE WHEN n_chars IS NULL THEN 'no count' WHEN n_chars <> CHARS(text) THEN 'wrong count' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN source IS NULL THEN 'no source' END]) AS problem FROM documents) WHERE problem IS NOT NULL""")
-both("check_sources", "SELECT a.path, a.sha256 AS pinned, b.sha256 AS found FROM (SELECT path, min(sha256) AS sha256 FROM docs GROUP BY path) a JOIN (SELECT path, max(sha256) AS sha256 FROM docs GROUP BY path) b ON a.path = b.path WHERE a.sha256 <> b.sha256")
 both("guard_path", r"SELECT DISTINCT path FROM docs WHERE MATCHES(lower(path), RX'\.bak\.|(^|/)archive/|-copy\.')")
 both("guard_text", r"SELECT doc_id FROM documents WHERE MATCHES(lower(text), RX'(^|[^a-z0-9])(manifest|heartbeat)([^a-z0-9]|$)') AND MATCHES(lower(text), RX'(^|[^a-z0-9])quorum([^a-z0-9]|$)')")
 both("decisions_for_hit", """WITH h AS (SELECT DISTINCT id, path, line_start, line_end FROM sections), d AS (SELECT path, line_start + 2 AS a, line_start + 6 AS b, id AS decision, added_at AS made FROM (SELECT DISTINCT id, path, line_start, added_at FROM sections))

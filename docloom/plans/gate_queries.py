@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import provenance, trees
 from docloom.plans.curate_queries import _GATE
 from docloom.plans.dialects import said
@@ -148,3 +149,45 @@ def tree_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_at_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a", "intro\n## A\nx\n## B\nlonger than it may be\n## C\n"), ("b", "short"), ("c", None), ("d", "")]
     return trees.cut_at_headings(spark.createDataFrame(rows, "path string, text string"), 20)
+
+
+@query("fil_binary", said("id", [("b",), ("d",)]))
+def fil_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More than one replacement character in a hundred; exactly one in a hundred isn't."""
+    rows = [("a", "x" * 99 + "�"), ("b", "x" * 98 + "�"), ("c", "plain"), ("d", "��"), ("e", ""), ("f", None)]
+    return spark.createDataFrame(rows, "id string, text string").filter(T.is_binary(F.col("text"))).select("id")
+
+
+@query("secret_path", said("path", [(p,) for p in (".kamal/secrets", "deploy/.env", "certs/api.key", "pnpm-lock.yaml", "config/.env.local", "keys/id_rsa", "A/TOKENS.txt")]))
+def secret_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [".kamal/secrets", "deploy/.env", "certs/api.key", "pnpm-lock.yaml", "config/.env.local", "keys/id_rsa", "A/TOKENS.txt", "config/deploy.yml", "deploy/.env.example", "deploy/.env.sample", "deploy/backup.sh", "my.environment"]
+    return spark.createDataFrame([(r,) for r in rows], "path string").filter(F.col("path").rlike(T.SECRET_LIKE))
+
+
+@query("stale_builds", said("domain, reason", [("never", "never built"), ("moved", "head moved"), ("edited", "file changed")]))
+def stale_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = spark.createDataFrame
+    builds = make([("fresh", "/f", "h1", 100), ("never", "/n", None, None), ("moved", "/m", "h1", 100), ("elsewhere", "/e", "h1", 100), ("edited", "/d", "h1", 100)], "domain string, root string, head string, built bigint")
+    heads = make([("/f", "h1"), ("/m", "h2"), ("/e", "h2"), ("/d", "h1")], "root string, head string")
+    files = make([("/f", "h1", "a.md", 50, True), ("/m", "h2", "a.md", 120, True), ("/e", "h1", "a.md", 60, True), ("/d", None, "b.md", 130, False), ("/f", None, "c.md", 90, False)], "root string, head string, path string, modified bigint, committed boolean")
+    return provenance.stale_builds(builds, heads, files)
+
+
+@query("forget_plan", said("path, kind", [("/out/a", "folder"), ("/repo/a/hook", "hook")]))
+def forget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", "/out/a", "folder"), ("a", "/repo/shared/hook", "hook"), ("a", "/repo/a/hook", "hook"), ("b", "/out/b", "folder"), ("b", "/repo/shared/hook", "hook")]
+    return provenance.forget_plan(spark.createDataFrame(rows, "domain string, path string, kind string"), "a")
+
+
+@query("reuse_questions", said("question, old_id, new_id", [("q1", "o1", "n1"), ("q2", "o1", "n1"), ("q4", "o4", "n4")]))
+def reuse_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept with the same path, heading and text; dropped with another path or text."""
+    kind = "id string, path string, heading string, text string"
+    old = spark.createDataFrame([("o1", "a.md", "H", "t"), ("o2", "a.md", "H", "gone"), ("o3", "moved.md", "H", "t"), ("o4", "c.md", None, "t")], kind)
+    new = spark.createDataFrame([("n1", "a.md", "H", "t"), ("n2", "a.md", "H", "t"), ("n3", "b.md", "H", "t"), ("n4", "c.md", None, "t"), ("n5", "c.md", "", "t")], kind)
+    return provenance.carried_over(spark.createDataFrame([("q1", "o1"), ("q2", "o1"), ("q3", "o2"), ("q4", "o4"), ("q5", "o3"), ("q6", "none")], "question string, id string"), old, new)
+
+
+@query("check_sources", said("id, pinned, found", [("oss:held", _REV, "b" * 40), ("oss:inner", _REV, None)]))
+def check_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.moved_sources(_sources(spark), spark.createDataFrame([("oss:lib", _REV), ("oss:held", "b" * 40)], "id string, head string"))

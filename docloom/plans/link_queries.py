@@ -233,21 +233,16 @@ both("module_dotted", r"SELECT DISTINCT source_file, regexp_replace(regexp_repla
 both("fil_path_class", r"""SELECT DISTINCT path, MATCHES(lower(path), RX'(^|/)(changelog|changes|history|news|releases?)([./_-]|$)') AS changelog, MATCHES(lower(path), RX'(^|/)(license|contributing|code_of_conduct|security)') AS boilerplate, MATCHES(path, RX'(^|/)(tests?|examples?)/') AS test FROM docs""")
 both("path_kind", r"""SELECT DISTINCT f AS path, CASE WHEN MATCHES(lower(f), RX'\.(md|mdx|rst|adoc|txt)$') THEN 'doc' WHEN MATCHES(lower(f), RX'\.(py|ts|go|js|java|rs)$') THEN 'code' WHEN MATCHES(lower(f), RX'\.(ya?ml|toml|json|tf|cfg|ini)$') THEN 'config' ELSE 'other' END AS kind
     FROM (SELECT path AS f FROM docs UNION ALL SELECT source_file FROM nodes)""")
-both("secret_path", r"SELECT DISTINCT source_file FROM nodes WHERE MATCHES(lower(source_file), RX'(^|[/._-])(\.env|secrets?|credentials?|id_rsa|private[_-]?key|token)([/._-]|$)|\.(pem|key|p12)$')")
 both("src_file_filter", r"SELECT DISTINCT path FROM docs WHERE MATCHES(lower(path), RX'\.(md|mdx|rst)$') AND NOT MATCHES(lower(path), RX'(^|/)(node_modules|\.git|build|dist|archive|vendor)/')")
 both("include_paths", r"SELECT DISTINCT source_file FROM nodes WHERE (STARTS(source_file, 'atlas/') OR MATCHES(source_file, RX'^[^/]+/src/[^/]*\.py$')) AND NOT MATCHES(source_file, RX'/tests/')")
 both("cfg_nodes", r"SELECT DISTINCT id, label, source_file FROM nodes WHERE kind = 'file' AND MATCHES(source_file, RX'\.(yaml|yml|toml|tf|json)$') AND NOT MATCHES(lower(source_file), RX'secret|credential|\.env')")
 both("doc_partitions", r"SELECT part, count(*) AS docs FROM (SELECT DISTINCT path, CASE WHEN MATCHES(lower(path), RX'changelog|release') THEN 'changelog' WHEN MATCHES(lower(path), RX'reference|api') THEN 'needed' ELSE 'regular' END AS part FROM docs) GROUP BY part")
 both("trust_suggest", r"""SELECT component, docs, code, CASE WHEN docs >= 10 * code THEN 'high' ELSE 'low' END AS trust FROM (SELECT c.component, count(DISTINCT d.path) AS docs, count(DISTINCT n.source_file) AS code FROM (SELECT DISTINCT component FROM docs UNION SELECT DISTINCT component FROM nodes) c
     LEFT JOIN docs d ON d.component = c.component LEFT JOIN (SELECT DISTINCT component, source_file FROM nodes WHERE kind = 'file') n ON n.component = c.component GROUP BY c.component)""")
-both("stale_builds", """WITH b AS (SELECT component, max(added_at) AS built FROM sections GROUP BY component) SELECT DISTINCT d.component, d.path FROM docs d JOIN b ON b.component = d.component WHERE d.commit_time > b.built OR d.sha256 IS NULL""")
 both("domain_for", r"""WITH c AS (SELECT DISTINCT regexp_extract(path, RX'^([^/]+/[^/]+)/', 1) AS root FROM docs UNION SELECT DISTINCT regexp_extract(path, RX'^([^/]+)/', 1) FROM docs), p AS (SELECT DISTINCT path, regexp_extract(path, RX'^([^/]+/[^/]+)/', 1) AS two, regexp_extract(path, RX'^([^/]+)/', 1) AS one FROM docs)
     SELECT p.path, max_by(c.root, length(c.root)) AS root FROM p JOIN c ON c.root = p.two OR c.root = p.one WHERE c.root <> '' GROUP BY p.path""")
 both("domain_status", """WITH b AS (SELECT component, max(added_at) AS built, count(DISTINCT id) AS sections FROM sections GROUP BY component) SELECT r.component, b.built, b.sections, CASE WHEN b.component IS NULL THEN 'not built' WHEN r.newest > b.built THEN 'stale' ELSE 'ok' END AS state
     FROM (SELECT component, max(commit_time) AS newest FROM docs GROUP BY component) r LEFT JOIN b ON b.component = r.component""")
-both("forget_plan", r"""WITH d AS (SELECT DISTINCT component, regexp_extract(abspath, RX'^(/[^/]+/[^/]+)/', 1) AS root FROM docs WHERE abspath IS NOT NULL) SELECT a.component, a.root FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.root = a.root AND b.component <> a.component)""")
-both("reuse_questions", """WITH s AS (SELECT path, heading_path, md5(text) AS h, min(id) AS id FROM sections WHERE removed_at IS NULL GROUP BY 1, 2, 3), o AS (SELECT path, heading_path, md5(text) AS h, id FROM sections WHERE removed_at IS NOT NULL)
-    SELECT DISTINCT o.id AS old_id, s.id AS new_id FROM o JOIN s ON o.h = s.h AND o.heading_path = s.heading_path""")
 both("section_jobs", """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS mark, id FROM sections), g AS (SELECT DISTINCT g AS id FROM (SELECT EACH(transform(gold, x -> x.section)) AS g FROM questions) WHERE g IS NOT NULL)
     SELECT 'normal' AS kind, id, mark FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = s.id) UNION ALL SELECT 'ident', id, mark FROM (SELECT id, mark FROM s ORDER BY md5(concat('1|', mark)), id LIMIT 10000)""",
      """WITH s AS (SELECT DISTINCT md5(concat(path, '|', coalesce(text, ''))) AS mark, id FROM sections), g AS (SELECT DISTINCT g AS id FROM (SELECT unnest(list_transform(gold, lambda x: x.section)) AS g FROM questions) WHERE g IS NOT NULL)
