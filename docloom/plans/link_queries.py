@@ -251,6 +251,5 @@ both("index_render", r"""SELECT component, array_join(sort_array(collect_set(coa
 both("one_hop", f"WITH {_LINK}, e AS (SELECT section_id AS a, node_id AS b FROM l WHERE section_id IS NOT NULL AND node_id IS NOT NULL) SELECT v, count(DISTINCT w) AS neighbours FROM (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e) GROUP BY v")
 both("folder_facts", r"""SELECT regexp_extract(source_file, RX'^(.*)/[^/]*$', 1) AS folder, count(DISTINCT source_file) AS files, count(DISTINCT id) AS symbols, concat('contains ', CAST(count(DISTINCT id) AS STRING), ' symbols') AS fact FROM nodes GROUP BY 1""",
      r"""SELECT regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS folder, count(DISTINCT source_file) AS files, count(DISTINCT id) AS symbols, concat('contains ', CAST(count(DISTINCT id) AS VARCHAR), ' symbols') AS fact FROM nodes GROUP BY 1""")
-both("git_times", "SELECT path, max(commit_time) AS newest, count(*) AS versions FROM docs GROUP BY path")
 both("src_parquet_project", "SELECT id, level, ordinal FROM sections WHERE level <= 2")
 both("union_groups", "SELECT 'doc' AS kind, id, path, CAST(NULL AS STRING) AS heading FROM docs UNION SELECT 'section', id, path, heading_path FROM sections", "SELECT 'doc' AS kind, id, path, CAST(NULL AS VARCHAR) AS heading FROM docs UNION SELECT 'section', id, path, heading_path FROM sections")

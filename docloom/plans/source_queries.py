@@ -15,7 +15,7 @@ from docloom.operators.documents import each_text
 from docloom.plans.dialects import both, said
 from docloom.plans.registry import query
 from docloom.session import shared_dir, table
-from docloom.sources import code, files
+from docloom.sources import code, diffs, files
 
 
 def _folder(spark: SparkSession) -> str:
@@ -214,3 +214,32 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a", [[3.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [True, True, False]), ("b", [[1.0, 1.0]], [False])]
     df = spark.createDataFrame(rows, "id string, tokens array<array<double>>, keep array<boolean>")
     return df.select("id", F.array_join(F.transform(search.mean_pool(F.col("tokens"), F.col("keep"), 2), lambda x: F.round(x, 6).cast("string")), " ").alias("v"))
+
+
+@query("git_times", "SELECT path, max(date_trunc('second', commit_time)) AS newest FROM docs WHERE commit_time IS NOT NULL GROUP BY path")
+def git_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest commit of each path, from a log written of the docs, a commit for each row."""
+    at = _folder(spark)
+    docs = table(spark, sf_dir, "docs").filter("commit_time is not null")
+    ct = F.unix_seconds(F.col("commit_time").cast("timestamp")).cast("string")
+    docs.select(F.concat(ct, F.lit("\n\n"), "path", F.lit("\n")).alias("value")).write.option("lineSep", "\x01").text(at)
+    return files.commit_log(spark, at).select("path", F.col("at").cast("timestamp_ntz").alias("newest"))
+
+
+_DIFF = (
+    "diff --git a/src/a.py b/src/a.py\n--- a/src/a.py\n+++ b/src/a.py\n@@ -3,3 +3,4 @@ def f():\n same\n-old\n+new\n+--- looks like a head\n same\n@@ -20 +21,0 @@\n-gone\n"
+    "diff --git a/new.md b/new.md\nnew file mode 100644\n--- /dev/null\n+++ b/new.md\n@@ -0,0 +1 @@\n+hello\n\\ No newline at end of file\ndiff --git a/dead.py b/dead.py\ndeleted file mode 100644\n--- a/dead.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n"
+    "diff --git a/old name.md b/to.md\nsimilarity index 100%\nrename from old name.md\nrename to to.md\n"
+)
+
+
+@query("hunk_lines", said("diff, path, sign, line, text", [
+    (1, "src/a.py", "-", None, "old"), (1, "src/a.py", "+", 4, "new"), (1, "src/a.py", "+", 5, "--- looks like a head"), (1, "src/a.py", "-", None, "gone"), (1, "new.md", "+", 1, "hello"), (1, "dead.py", "-", None, "x"),
+]))
+def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.diff_tables(spark.createDataFrame([(1, _DIFF), (2, None), (3, "")], "diff int, text string"))[1]
+
+
+@query("diff_files", said("diff, path, status", [(1, "src/a.py", "M"), (1, "new.md", "A"), (1, "dead.py", "D"), (1, "to.md", "R")]))
+def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.diff_tables(spark.createDataFrame([(1, _DIFF), (2, None), (3, "")], "diff int, text string"))[0]

@@ -96,8 +96,17 @@ def discard(df: DataFrame) -> None:
 
 
 def once(spark: SparkSession, name: tuple, make):
-    """What make() gives, made once a session for each name: stored tables that several queries read."""
-    held = spark.sparkContext.__dict__.setdefault("_docloom_once", {})
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    """What make() gives, made once a session for each name: stored tables that several queries read. Made anew if a folder
+    that make() wrote is gone, as when the shared folder was cleared."""
+    state = spark.sparkContext.__dict__
+    held = state.setdefault("_docloom_once", {})
+
+    def there(to: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    if name not in held or not all(map(there, held[name][1])):
+        before = len(state.setdefault("_docloom_stored", []))
+        made = make()
+        held[name] = made, state["_docloom_stored"][before:]
+    return held[name][0]

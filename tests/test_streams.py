@@ -76,5 +76,9 @@ def test_gated_parts(spark, tmp_path):
 def test_forget(spark, tmp_path):
     at = session.stored(spark.range(3))
     assert session.once(spark, ("x",), lambda: 1) == 1 and at.count() == 3
+    made = session.once(spark, ("y",), lambda: session.stored(spark.range(5)))
+    assert session.once(spark, ("y",), lambda: 1 / 0).count() == 5
+    session.discard(made)
+    assert session.once(spark, ("y",), lambda: session.stored(spark.range(6))).count() == 6
     assert session.forget(spark) >= 1 and session.forget(spark) == 0
     assert session.once(spark, ("x",), lambda: 2) == 2
