@@ -111,3 +111,17 @@ def relation_facts(nodes: DataFrame, edges: DataFrame, wording: dict[str, str],
     said = F.coalesce(*[F.when(F.col("relation") == k, F.replace(F.replace(F.lit(v), F.lit("{a}"), short("source")), F.lit("{b}"), short("target"))) for k, v in wording.items()])
     rows = edges.join(nodes.filter("file is not null").select(F.col("id").alias("source"), folder.alias("folder")), "source").select("folder", said.alias("fact")).filter("fact is not null").distinct()
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(F.xxhash64("fact"), "fact"))).filter(F.col("place") <= most).select("folder", "place", "fact")
+
+
+def hops_by_query(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(query, vertex, hops): what lies within `most` undirected hops of any of a query's starts (query, vertex), nearest
+    first found. Each round extends only what the last one found and is written."""
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    seen = new = stored(starts.filter("vertex is not null").select("query", "vertex").distinct().withColumn("hops", F.lit(0)))
+    for i in range(1, most + 1):
+        step = new.join(both, new["vertex"] == both["a"]).select("query", F.col("b").alias("vertex")).distinct()
+        new = stored(step.join(seen, ["query", "vertex"], "left_anti").withColumn("hops", F.lit(i)))
+        if new.isEmpty():
+            break
+        seen = seen.union(new)
+    return seen

@@ -51,6 +51,28 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: in
     return whole
 
 
+def dense_by_domain(vectors: DataFrame, queries: DataFrame, domains: list[str], k: int = DEPTH) -> DataFrame:
+    """(query, domain, rank, key, score): a search of its own in each of the registered domains. vectors: (key, v, domain)."""
+    out = None
+    for domain in domains:
+        one = dense_topk(vectors.filter(F.col("domain") == domain), queries, k).select("query", F.lit(domain).alias("domain"), "rank", "key", "score")
+        out = one if out is None else out.union(one)
+    if out is None:
+        raise ValueError("no domain is registered")
+    return out
+
+
+def prompt_gate(prompts: DataFrame, best: DataFrame, least_words: int = 3, least_cosine: float = 0.34) -> DataFrame:
+    """(query, reason) of prompts (query, text): why nothing is added to a prompt, null where something is: a command or a
+    short prompt isn't searched for, nothing was found, or the best cosine (query, cosine) is too low."""
+    bare = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    n = F.size(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+    worth = F.coalesce((bare != "") & ~bare.startswith("/") & (n >= least_words), F.lit(False))
+    top_ = best.groupBy("query").agg(F.max("cosine").alias("cosine"))
+    why = F.when(~worth, "command or short prompt").when(F.col("cosine").isNull(), "nothing found").when(F.col("cosine") < least_cosine, "too far")
+    return prompts.join(top_, "query", "left").select("query", why.alias("reason"))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)

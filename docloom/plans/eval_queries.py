@@ -25,7 +25,6 @@ both("span_overlap", f"WITH {_GOLD} {_SPAN}", f"WITH {_GOLD_D} {_SPAN}")
 both("docs_of_gold", f"WITH {_GOLD} SELECT id, count(DISTINCT path) AS paths, count(DISTINCT section) AS sections FROM gold GROUP BY id", f"WITH {_GOLD_D} SELECT id, count(DISTINCT path) AS paths, count(DISTINCT section) AS sections FROM gold GROUP BY id")
 both("verified_items", r"SELECT DISTINCT id FROM questions WHERE style = 'behavior' AND NOT MATCHES(question, RX'`|[a-z]_[a-z]|--[a-z]|[A-Z]{3,}')")
 both("split_leak", "SELECT a.component FROM (SELECT DISTINCT component FROM questions WHERE lower(trim(split)) = 'train') a WHERE a.component IN (SELECT component FROM questions WHERE lower(trim(split)) = 'test')")
-both("prompt_gate", r"SELECT DISTINCT id, NOT STARTS(question, '/') AND LEN(regexp_extract_all(question, RX'[^ ]+', 0)) >= 3 AS worth FROM questions")
 both("job_matrix", """SELECT id, arm, rep, md5(concat(id, '|', arm, '|', CAST(rep AS STRING))) AS place FROM (SELECT DISTINCT id FROM questions WHERE lower(trim(split)) = 'test') q, (VALUES ('with'), ('without')) AS a(arm), (VALUES (1), (2), (3)) AS r(rep)""",
      """SELECT id, arm, rep, md5(concat(id, '|', arm, '|', CAST(rep AS VARCHAR))) AS place FROM (SELECT DISTINCT id FROM questions WHERE lower(trim(split)) = 'test') q, (VALUES ('with'), ('without')) AS a(arm), (VALUES (1), (2), (3)) AS r(rep)""")
 both("quota_sample", "SELECT id, source, population FROM (SELECT id, source, count(*) OVER (PARTITION BY source) AS population, row_number() OVER (PARTITION BY source ORDER BY md5(concat('5|', id))) AS r FROM (SELECT DISTINCT id, source FROM questions)) WHERE r <= 20")

@@ -69,6 +69,20 @@ def all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.all_hops(_plain(spark), 4)
 
 
+@query("keyword_walk", _WALK.replace("w.hops < 4", "w.hops < 3") + """, k AS (SELECT query, vertex FROM (VALUES ('run jobs', 'Job.run'), ('run jobs', 'app/core/jobs.py'), ('ui form', 'form'), ('ui form', 'app/ui/form.ts'), ('ui form', 'dir:app/ui')) AS t(query, vertex)),
+    r AS (SELECT query, vertex, 0 AS hops FROM k UNION ALL SELECT k.query, h.b, h.hops FROM k JOIN h ON h.a = k.vertex) SELECT query, vertex, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY query, vertex""")
+def keyword_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything within three hops of the up to three nodes whose names share most words with a question; a node must
+    share one. Ties go to the lesser name."""
+    nodes, edges = _graph(spark)
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
+    asked = spark.createDataFrame([("run jobs",), ("ui form",), ("nothing here",)], "query string").select("query", F.explode(words(F.col("query"))).alias("w"))
+    named = nodes.filter("kind <> 'env'").select(F.col("id").alias("vertex"), F.explode(words(F.col("id"))).alias("w"))
+    met = asked.join(named, "w").groupBy("query", "vertex").agg(F.count("*").alias("n"))
+    best = met.withColumn("r", F.expr("row_number() over (partition by query order by n desc, vertex)")).filter("r <= 3")
+    return graph.hops_by_query(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), best, 3)
+
+
 @query("hop_pairs", _WALK + " SELECT a, b, CAST(hops AS INTEGER) AS hops FROM h WHERE hops <= 3 AND a IN ('Job', 'form') AND b IN ('one', 'README.md', 'env:UI') UNION ALL SELECT 'one', 'one', 0")
 def hop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of some pairs those at most three hops apart."""

@@ -268,14 +268,27 @@ def auto_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.auto_k(dense(spark, sf_dir).withColumnRenamed("score", "cosine"))
 
 
-@query("cross_domain_merge", _UNIT_SQL + """, d AS (SELECT query, label AS domain, key, cosine, row_number() OVER (PARTITION BY query, label ORDER BY rank) AS rank FROM dense),
+@query("cross_domain_merge", """WITH v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    d AS (SELECT query, domain, key, cosine, row_number() OVER (PARTITION BY query, domain ORDER BY round(cosine, 9) DESC, key) AS rank FROM (SELECT q.vec_id AS query, v.label AS domain, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 9) AS cosine FROM v q, v WHERE q.vec_id % 20 = 0 AND v.label IS NOT NULL) QUALIFY rank <= 50),
     f AS (SELECT query, domain, key, rank, min(cosine) OVER (PARTITION BY query, domain ORDER BY rank ROWS UNBOUNDED PRECEDING) AS floor FROM d)
-    SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(floor, 9) DESC, rank, domain, key) AS rank, domain, key, round(floor, 6) AS floor FROM f) WHERE rank <= 10""")
+    SELECT query, rank, CAST(domain AS VARCHAR) AS domain, key, floor FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(floor, 9) DESC, rank, CAST(domain AS VARCHAR), key) AS rank, domain, key, round(floor, 6) AS floor FROM f) WHERE rank <= 10""")
 def cross_domain_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("domain")).distinct()
-    d = dense(spark, sf_dir).join(labels, "key").withColumnRenamed("score", "cosine")
-    hits = d.select("query", "domain", "key", "cosine", F.expr("row_number() over (partition by query, domain order by rank)").alias("rank"))
-    return search.cross_domain_merge(hits, 10).withColumn("floor", F.round("floor", 6))
+    """Each label as a domain with a search of its own; one list by the least cosine so far within the domain."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("domain")).distinct()
+    domains = sorted(r[0] for r in v.select("domain").filter("domain is not null").distinct().collect())  # the registry of domains
+    vectors = v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"), "domain")
+    hits = search.dense_by_domain(vectors, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), domains)
+    return search.cross_domain_merge(hits.withColumnRenamed("score", "cosine"), 10).withColumn("floor", F.round("floor", 6))
+
+
+@query("prompt_gate", _LISTS_SQL + r""", b AS (SELECT query, max(score) AS cosine FROM lists WHERE list = 1 GROUP BY query), p AS (SELECT id AS query, question AS text FROM asked UNION ALL SELECT * FROM (VALUES ('x1', '/clear all of it'), ('x2', 'ok then'), ('x3', NULL), ('x4', 'a question nobody asked'), ('x5', ' yes do it ')) AS t(query, text)),
+    c AS (SELECT * FROM b UNION ALL SELECT 'x5', 0.2)
+    SELECT query, CASE WHEN coalesce(trim(text), '') = '' OR starts_with(trim(text), '/') OR len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) < 3 THEN 'command or short prompt' WHEN cosine IS NULL THEN 'nothing found' WHEN cosine < 0.34 THEN 'too far' END AS reason FROM p LEFT JOIN c USING (query)""")
+def prompt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asked questions, which are searched for and found, and five prompts that are turned away for each reason."""
+    more = spark.createDataFrame([("x1", "/clear all of it"), ("x2", "ok then"), ("x3", None), ("x4", "a question nobody asked"), ("x5", " yes do it ")], "query string, text string")
+    best = two_lists(spark, sf_dir).filter("list = 1").select("query", F.col("score").alias("cosine")).union(spark.createDataFrame([("x5", 0.2)], "query string, cosine double"))
+    return search.prompt_gate(asked(spark, sf_dir).withColumnRenamed("question", "text").union(more), best)
 
 
 @query("rank_window", _UNIT_SQL + " SELECT query, rank, key FROM dense WHERE rank BETWEEN 3 AND 30")
