@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from docloom.operators import index
+from docloom.operators import index, search
 
 
 def shuffled(spark):
@@ -45,3 +45,13 @@ def test_many_questions_shuffle_only_their_best(spark):
     # 5 a question and task, and the terms; not the pairs of a question and a record that share a term, of which there are 130,000.
     assert shuffled(spark) - before < 10_000
     assert {(r.query, r.rank): (r.key, round(r.score, 6)) for r in index.rank(at, terms, 5, block=40).collect()} == got
+
+
+def test_vectors_that_tie_shuffle_only_the_first(spark):
+    n = 4000
+    df = spark.range(n).selectExpr("concat('k', lpad(id, 5, '0')) AS key", "if(id % 2 = 0, array(0D, 0D), array(1D, 0D)) AS v").repartition(4)
+    q = spark.createDataFrame([(f"q{i}", [1.0, 0.0] if i else [0.0, 0.0]) for i in range(30)], "query string, v array<double>")
+    before = shuffled(spark)
+    got = {(r.query, r.rank): (r.key, r.score) for r in search.dense_topk(df, q, 3).collect()}
+    assert got == {(f"q{i}", r): (f"k{2 * r - 1 if i else r - 1:05}", float(bool(i))) for i in range(30) for r in (1, 2, 3)}
+    assert shuffled(spark) - before < n + 30 + 3 * 30 * 4 + 1000  # not the 60,000 pairs at a cosine of 1
