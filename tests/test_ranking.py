@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from docloom.operators import index, search
+from docloom.operators import index, mining, search
 
 
 def shuffled(spark):
@@ -55,3 +55,14 @@ def test_vectors_that_tie_shuffle_only_the_first(spark):
     got = {(r.query, r.rank): (r.key, r.score) for r in search.dense_topk(df, q, 3).collect()}
     assert got == {(f"q{i}", r): (f"k{2 * r - 1 if i else r - 1:05}", float(bool(i))) for i in range(30) for r in (1, 2, 3)}
     assert shuffled(spark) - before < n + 30 + 3 * 30 * 4 + 1000  # not the 60,000 pairs at a cosine of 1
+
+
+def test_pairs_with_positives_are_not_shuffled(spark):
+    texts = spark.range(200).selectExpr("concat('k', id) AS key", "if(id = 7, null, concat_ws(' ', transform(sequence(1, 12), i -> concat('w', if(id >= 100 and i < 12, id - 100, id), '_', i)))) AS text")
+    ranked = spark.range(2000).selectExpr("concat('q', floor(id / 100)) AS query", "id % 100 + 1 AS rank", "concat('k', id % 100) AS key")
+    positives = spark.range(2000).selectExpr("concat('q', floor(id / 100)) AS query", "concat('k', 100 + id % 100) AS key").filter("key <> 'k103'").union(spark.createDataFrame([("q0", "k3")], "query string, key string"))
+    before = shuffled(spark)
+    left = {(r.query, r.key) for r in mining.unlike_positives(ranked, positives, texts).collect()}
+    # All but k3 (whose copy is no positive) and k7 (a null text, unlike its copy) are near-copies of a positive; k3 is one itself in q0.
+    assert left == {(f"q{i}", k) for i in range(20) for k in ("k3", "k7")} - {("q0", "k3")}
+    assert shuffled(spark) - before < 60_000  # not the 200,000 pairs of a candidate and a positive
