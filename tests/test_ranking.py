@@ -57,6 +57,32 @@ def test_vectors_that_tie_shuffle_only_the_first(spark):
     assert shuffled(spark) - before < n + 30 + 3 * 30 * 4 + 1000  # not the 60,000 pairs at a cosine of 1
 
 
+def test_kinds_shuffle_only_their_best(spark):
+    n = 1200
+    keys = [(f"k{i:04}", f"doc{i // 4}" if i % 11 else None, ["a", "b", None][i % 3], i % 5 == 0, i % 7 != 0) for i in range(n)]
+    texts = {k[0]: ["common", f"w{i % 37}", f"w{i % 13}", *["pad"] * (i % 4)] for i, k in enumerate(keys)}
+    asked = {f"q{i:02}": ["common", f"w{i % 37}"] for i in range(60)}
+    queries = [(f"q{i:02}", keys[i * 9][0], keys[i * 9][1], keys[i * 9][2], [True, False, None][i % 3 if i % 2 else 1]) for i in range(60)]
+    at = index.build(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "id string, t string").repartition(2), "id", {"t": 1.0})
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query string, term string")
+    all_ = {}
+    for (q, _), (key, _s) in bm25(texts, asked, n).items():
+        all_.setdefault(q, []).append(key)
+    of, want = {k[0]: k for k in keys}, {}
+    for q, positive, doc, scope, prose in queries:
+        for key in all_.get(q, []):
+            _, d, s, changes, long = of[key]
+            kind = "sibling" if d and d == doc else None if not (s and s == scope) else "book" if prose else "changelog" if changes else "doc"
+            if long and key != positive and kind and len(want.setdefault((q, kind), [])) < 5:
+                want[q, kind].append(key)
+    before, got = shuffled(spark), {}
+    found = mining.candidates_by_kind(at, terms, spark.createDataFrame(queries, "query string, positive string, doc string, scope string, prose boolean"), spark.createDataFrame(keys, "key string, doc string, scope string, changelog boolean, long boolean"), 5)
+    for r in sorted(found.collect(), key=lambda r: r.place):
+        got.setdefault((r.query, r.kind), []).append(r.key)
+    assert got == want and {k for _, k in got} == {"sibling", "book", "changelog", "doc"}
+    assert shuffled(spark) - before < 15_000  # not the 72,000 pairs that share a term
+
+
 def test_pairs_with_positives_are_not_shuffled(spark):
     texts = spark.range(200).selectExpr("concat('k', id) AS key", "if(id = 7, null, concat_ws(' ', transform(sequence(1, 12), i -> concat('w', if(id >= 100 and i < 12, id - 100, id), '_', i)))) AS text")
     ranked = spark.range(2000).selectExpr("concat('q', floor(id / 100)) AS query", "id % 100 + 1 AS rank", "concat('k', id % 100) AS key")
