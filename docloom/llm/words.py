@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.codes import bit_table, bits_for, looked_up  # noqa: F401
+
 #: A longest run of letters and digits of any script; _ is no word character.
 WORD = re.compile(r"[^\W_]+")
 
@@ -75,32 +76,6 @@ def per_text(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
-def bit_table(df: DataFrame, h: str, bits: int) -> Broadcast:
-    """A table of 2**bits bits in which the top bits of each 64-bit hash in column h are set, sent to all executors.
-    Its size is fixed by the parameter, 2**(bits - 3) bytes, whatever the number of rows: a fuller table lets more rows
-    through to the join behind it, and drops none. The bits are set on the executors, 4 KB segment by segment."""
-    if not 15 <= bits <= 30:
-        raise ValueError("bits must be from 15 to 30")
-    at = F.shiftrightunsigned(F.col(h), 64 - bits)
-    parts = df.select((at.bitwiseAND(F.lit(32767))).alias("bit"), F.shiftright(at, 15).alias("segment"))
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    for segment, packed in parts.groupBy("segment").agg(F.bitmap_construct_agg("bit")).toLocalIterator():
-        table[segment << 12 : (segment + 1) << 12] = np.frombuffer(bytes(packed), np.uint8)
-    return df.sparkSession.sparkContext.broadcast(table.tobytes())
-
-
-def bits_for(n: int) -> int:
-    """Bits of a table in which n hashes fill about one bit in 256, within what bit_table takes."""
-    return max(15, min(30, int(n).bit_length() + 8))
-
-
-def looked_up(table: bytes) -> Callable[[np.ndarray], np.ndarray]:
-    """A function that says which hashes may be in the table."""
-    held = np.frombuffer(table, np.uint8)
-    shift = np.uint64(64 - (len(held).bit_length() + 2))
-    return lambda h: (held[(at := (h >> shift).astype(np.int64)) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 #: Rows of a group that one task holds against the whole group.
 BLOCK = 1024
 

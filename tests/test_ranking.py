@@ -4,7 +4,10 @@ import math
 
 import numpy as np
 
+from docloom import plans
 from docloom.operators import index, mining, search
+from docloom.plans.registry import QUERIES
+from docloom.plans.search_queries import section_index
 
 
 def shuffled(spark):
@@ -92,3 +95,32 @@ def test_pairs_with_positives_are_not_shuffled(spark):
     # All but k3 (whose copy is no positive) and k7 (a null text, unlike its copy) are near-copies of a positive; k3 is one itself in q0.
     assert left == {(f"q{i}", k) for i in range(20) for k in ("k3", "k7")} - {("q0", "k3")}
     assert shuffled(spark) - before < 60_000  # not the 200,000 pairs of a candidate and a positive
+
+
+def asked_sections(spark, tmp_path):
+    """6,000 sections and their index, ten asked questions; the hits of each as {(query, rank): (key, text)}."""
+    docs = {f"s{i:04}": ["common", f"w{i % 97}x", f"w{i % 13}x", *["pad"] * (i % 4)] for i in range(6000)}
+    asked = {f"q{20 * i}": ["common", f"w{i}x"] for i in range(10)}
+    rows = [(k, f"{k}.md", " ".join(d)) for k, d in docs.items()]
+    spark.createDataFrame([*rows, *rows[:500], ("s0007", "s0007.md", "zzz")], "id string, path string, text string").selectExpr("*", "cast(null AS string) AS heading_path").write.parquet(str(tmp_path / "sections.parquet"))
+    spark.createDataFrame([*[(q, " ".join(t)) for q, t in asked.items()], ("q7", "common")], "id string, question string").write.parquet(str(tmp_path / "questions.parquet"))
+    plans.load()
+    section_index(spark, str(tmp_path))
+    return {at: (key, " ".join(docs[key])) for at, (key, _) in bm25(docs, asked, 10).items()}
+
+
+def without_broadcasts(spark, name, sf_dir):
+    """The rows of a query, planned as over tables too large to broadcast, and the records that it shuffled."""
+    before, kept = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return QUERIES[name](spark, sf_dir).collect(), shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_excerpts_shuffle_only_the_sections_hit(spark, tmp_path):
+    want = asked_sections(spark, tmp_path)
+    rows, moved = without_broadcasts(spark, "excerpt", str(tmp_path))
+    assert len(rows) == 100 and {(r.query, r.rank): (r.key, r.excerpt) for r in rows} == want
+    assert moved < 3000  # not the 6,501 sections with their texts
