@@ -26,3 +26,7 @@ def tables(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["bm25_topk", "excerpt", "context_pack", "rrf_fusion", "rerank_pool", "four_list_rrf", "rank_modes"])
 def test_each_question_has_its_rows(spark, tables, name):
     assert {r["query"] for r in QUERIES[name](spark, tables).collect()} == set(IDS)
+
+
+def test_rerank_share_counts_each_question(spark, tables):
+    assert QUERIES["rerank_share"](spark, tables).first()["queries"] == len(IDS)
