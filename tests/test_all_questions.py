@@ -30,3 +30,7 @@ def test_each_question_has_its_rows(spark, tables, name):
 
 def test_rerank_share_counts_each_question(spark, tables):
     assert QUERIES["rerank_share"](spark, tables).first()["queries"] == len(IDS)
+
+
+def test_mode_table_counts_each_question(spark, tables):
+    assert {r["queries"] for r in QUERIES["mode_table"](spark, tables).collect()} == {len(IDS)}
