@@ -23,7 +23,7 @@ def tables(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "excerpt", "context_pack", "rrf_fusion", "rerank_pool", "four_list_rrf", "rank_modes", "hard_negatives", "neg_groups"])
+@pytest.mark.parametrize("name", ["bm25_topk", "excerpt", "context_pack", "rrf_fusion", "rerank_pool", "four_list_rrf", "rank_modes", "hard_negatives", "neg_groups", "assemble_groups"])
 def test_each_question_has_its_rows(spark, tables, name):
     assert {r["query"] for r in QUERIES[name](spark, tables).collect()} == set(IDS)
 
